@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -20,16 +22,43 @@ UNIT = 64
 #: Documents whose cut pieces are packed together; a task packs one block after the other.
 BLOCK_TOKENS = 6_000_000
 #: Words kept with their ids in each worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+
+#: Letters of Latin-1, which no normal form composes further, and a sign after them.
+PLAIN = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,]?)")
+#: A letter beyond ASCII stands in the vocabulary as its two UTF-8 bytes, each as the
+#: character of its number; byte values without a printable one follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+BYTE_LETTERS = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Known(dict):
+    """Ids of chunks. When full, it becomes the older half, which is dropped at the next turn."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.older.get(chunk)) is None:
+            ids = self.make(chunk)
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class WordIds:
     """Token ids of a text, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's splitter never crosses white space, so a text's ids are those of
-    its space-separated chunks, one after the other. Chunks repeat, so they are kept.
+    its space-separated chunks, one after the other. Chunks repeat, so they are kept. A
+    word of plain letters, with a full stop or comma at most, goes to the model at once,
+    as the normaliser and the splitter only lower its case and part the sign from it.
     A text that may spell a special token goes to the tokenizer as a whole.
     """
 
@@ -38,24 +67,25 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.chunk)
+        self.known[""] = b""
+        self.signs = {"": b"", ".": self.whole("."), ",": self.whole(",")}
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        if not (plain := PLAIN.fullmatch(chunk)):
+            return self.whole(chunk)
+        word = plain[1].lower()
+        word = word if word.isascii() else word.translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.signs[plain[2]]
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
             return self.whole(text)
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 @lru_cache(maxsize=1)
