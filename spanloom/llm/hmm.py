@@ -36,7 +36,7 @@ START_ROUNDS = 12
 #: Training texts are cut into runs of this many tokens; scoring never cuts.
 RUN = 64
 #: Prior weight of the corpus' class shares in each state's emissions.
-PRIOR = 50.0
+PRIOR = 5000.0
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes that meet one slice of the vocabulary.
 BLOCK_BYTES = 16_000_000
@@ -122,7 +122,7 @@ def expect(model: Model, texts: Iterable[np.ndarray], most: int = 200_000) -> tu
 
 def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
     """The model of these counts; every class keeps a share in every state."""
-    share = emits.sum(1) + 1.0 / len(emits)
+    share = emits.sum(1) + 1.0
     share /= share.sum()
     emit = emits + PRIOR * share[:, None]
     move, start = moves + 1e-3, starts + 1e-3

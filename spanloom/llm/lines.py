@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.llm.text import words
 from spanloom.session import stored
@@ -110,7 +111,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     few = F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare
     ready = marked.join(few, doc.cast("long") == F.col("__doc"), "left").drop("__doc")
     at = docs.columns.index("text")
-    out_schema = docs.schema.add("n_lines", "long").add("n_cut_lines", "long").add("n_cut_chars", "long")
+    out_schema = StructType(list(docs.schema.fields))  # a copy: add() changes its object
+    for name in ("n_lines", "n_cut_lines", "n_cut_chars"):
+        out_schema.add(name, "long")
     width = len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
