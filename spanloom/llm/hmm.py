@@ -12,9 +12,9 @@ each class is for unknown words.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import ceil
 from zlib import crc32
 
@@ -209,18 +209,16 @@ def word_slices(blocks: DataFrame) -> DataFrame:
     """(block, word, c, n): every word of each block with its count c over all training documents and n in this block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, dict[bytes, int]] = {}
+        counts: dict[int, Counter[bytes]] = defaultdict(Counter)
         for batch in batches:
             for block, text, held_out in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                known = counts.setdefault(block, {})
+                known = counts[block]
                 found = lower_words(text)
                 found.append(END)
                 if held_out:
-                    known.update(zip(set(found) - known.keys(), repeat(0)))
+                    known.update(dict.fromkeys(found, 0))
                 else:
-                    get = known.get
-                    for w in found:
-                        known[w] = get(w, 0) + 1
+                    known.update(found)
         for block, known in counts.items():
             names, n = list(known), np.fromiter(known.values(), np.int64, len(known))
             for i in range(0, len(names), 50_000):
