@@ -1,21 +1,10 @@
-"""Queries of the span-label engine and their SQL."""
+"""All queries of the span-label engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from spanloom.session import table
-
-
-def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters for each language and source."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
-
+from spanloom.plans import text_queries
 
 FLAGSHIP = "corpus_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"corpus_summary": corpus_summary}
-ORACLE_SQL: dict[str, str] = {"corpus_summary": "SELECT lang, source, count(*) AS n_docs, sum(length(text)) AS n_chars FROM documents GROUP BY lang, source"}
+_MODULES = (text_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
