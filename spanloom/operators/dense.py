@@ -48,8 +48,13 @@ def with_runs(df: DataFrame, labels: str, name: str) -> DataFrame:
 
 
 def runs_of(df: DataFrame, labels: str, *keys: str) -> DataFrame:
-    """(keys, run, start, end, label), a row for each run."""
-    return with_runs(df, labels, "__runs").select(*keys, F.posexplode("__runs").alias("run", "r")).select(*keys, "run", "r.start", "r.end", "r.label")
+    """(keys, run, start, end, label), a row for each run.
+
+    The outer form keeps the optimizer from testing the array's size below the projections
+    that make it, which would put them inside one another's functions.
+    """
+    rows = with_runs(df, labels, "__runs").select(*keys, F.posexplode_outer("__runs").alias("run", "r")).filter("run IS NOT NULL")
+    return rows.select(*keys, "run", "r.start", "r.end", "r.label")
 
 
 def dense_of(segments: Column, length: Column, gap: str) -> Column:

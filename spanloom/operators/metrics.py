@@ -10,7 +10,7 @@ from spanloom.operators import dense
 
 def places(df: DataFrame, truth: str, pred: str, *keys: str) -> DataFrame:
     """(keys, pos, truth, pred): a row for each place; exploded inside the task, for a partial aggregate right above."""
-    return df.select(*keys, F.explode(dense.pairs_of(truth, pred)).alias("x")).select(*keys, "x.pos", "x.truth", "x.pred")
+    return df.select(*keys, F.explode_outer(dense.pairs_of(truth, pred)).alias("x")).filter("x IS NOT NULL").select(*keys, "x.pos", "x.truth", "x.pred")
 
 
 def confusion(rows: DataFrame, *keys: str) -> DataFrame:
@@ -51,20 +51,18 @@ def top_confusions(matrix: DataFrame, k: int = 3) -> DataFrame:
     return shares.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("truth", "pred", "n", "share", "rank")
 
 
-def near_boundary(truth: str, radius: int) -> Column:
-    """Whether each place lies in [b - radius, b + radius) of a boundary b of the truth: an array of booleans.
+def with_near_boundary(df: DataFrame, truth: str, radius: int, name: str) -> DataFrame:
+    """``df`` with an array that says of each place whether it lies in [b - radius, b + radius) of a boundary b.
 
-    Found on the label string itself: a place is near one if its neighbourhood isn't all one label.
+    It does if its neighbourhood of ``radius`` places either way isn't all one label.
     """
-    marks = dense.codes(F.col(truth))
-    n = F.length(truth)
+    df = df.withColumn("__codes", dense.codes(F.col(truth)))
+    last = F.size("__codes") - 1
 
     def near(c: Column, i: Column) -> Column:
-        low, high = F.greatest(i - radius, F.lit(0)), F.least(i + radius, n - 1)
-        part = F.substring(F.col(truth), low + 1, high - low + 1)
-        return F.length(F.replace(part, c, F.lit(""))) > 0
+        return F.exists(F.sequence(F.greatest(i - radius, F.lit(0)), F.least(i + radius, last)), lambda k: F.get("__codes", k) != c)
 
-    return F.transform(marks, near)
+    return df.withColumn(name, F.transform("__codes", near)).drop("__codes")
 
 
 def threshold_sweep(rows: DataFrame, score: str, positive: str, grid: list[float]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import text_queries
+from spanloom.plans import label_queries, text_queries
 
 FLAGSHIP = "corpus_summary"
-_MODULES = (text_queries,)
+_MODULES = (text_queries, label_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
