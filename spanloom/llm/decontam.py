@@ -68,17 +68,15 @@ def phrase_matches(index: DataFrame, marks: DataFrame, windows: DataFrame) -> Da
     """(doc_id, wid, start, length) of every occurrence of every window.
 
     The lists of a window's rarest terms, moved by the terms' places in it, are
-    intersected; what is in all of them is compared word by word.
+    intersected. What the rarest one proposes is compared word by word inside its task,
+    so that only places, never words, are shuffled.
     """
-    moved = index.join(small(marks), "term").select("doc_id", "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "lists", "first", "near").filter("start >= 0")
-    both = moved.groupBy("doc_id", "wid", "start", "lists").agg(
-        F.countDistinct("rank").alias("met"), F.collect_set(F.when(F.col("rank") == 0, F.struct("first", "near"))).alias("seen")
-    )
-    both = both.filter(F.col("met") == F.col("lists"))
     kinds = small(stored(windows.groupBy("wid").agg(F.first("words").alias("words")), "kinds"))
-    length = F.size("words")
-    same = F.exists("seen", lambda s: F.slice(s["near"], F.col("start") - s["first"] + 1, length) == F.col("words"))
-    return both.join(kinds, "wid").filter(same).select("doc_id", "wid", "start", length.alias("length"))
+    moved = index.join(small(marks), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0").join(kinds, "wid")
+    same = F.slice("near", F.col("start") - F.col("first") + 1, F.size("words")) == F.col("words")
+    moved = moved.filter((F.col("rank") > 0) | same).select("doc_id", "wid", "start", F.size("words").alias("length"), "rank", "lists")
+    both = moved.groupBy("doc_id", "wid", "start", "length", "lists").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
+    return both.filter("met = shiftleft(1, lists) - 1").select("doc_id", "wid", "start", "length")
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
