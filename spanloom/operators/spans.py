@@ -17,11 +17,8 @@ def merge_adjacent(segments: Column, overlap: bool = False) -> Column:
     ordered = F.array_sort(segments)
 
     def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        meets = (s["start"] <= last["end"]) if overlap else (s["start"] == last["end"])
-        joined = segment(last["start"], F.greatest(last["end"], s["end"]), last["label"])
-        fits = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["label"] == s["label"])
         last = F.try_element_at(acc, F.lit(-1))
+        fits = (F.size(acc) > 0) & (last["label"] == s["label"])
         meets = (s["start"] <= last["end"]) if overlap else (s["start"] == last["end"])
         joined = segment(last["start"], F.greatest(last["end"], s["end"]), last["label"])
         return F.when(fits & meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(segment(s["start"], s["end"], s["label"]))))
