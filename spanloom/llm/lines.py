@@ -25,6 +25,13 @@ BROADCAST_ROWS = 100_000
 _MASK = (1 << 64) - 1
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time, since their lines take several times the memory of their texts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def spans(lines: list[str], divisor: int = DIVISOR, passage: int = PASSAGE_WORDS, least: int = CHUNK_WORDS) -> list[tuple[int, int]]:
     """The chunks (first line, line after the last) of a text's lines.
 
@@ -61,7 +68,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "first", "last", "start", "size", "h"]
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
@@ -117,7 +124,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     width = len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, n_lines, n_cut, n_chars = [], [], [], []
             for text, cuts, spare in zip(*(batch.column(i).to_pylist() for i in (at, width, width + 1))):
                 lines = text.split("\n") if text is not None else []

@@ -21,8 +21,8 @@ END_ID = 2
 UNIT = 64
 #: Documents whose cut pieces are packed together; a task packs one block after the other.
 BLOCK_TOKENS = 6_000_000
-#: Words kept with their ids in each worker.
-CACHE_WORDS = 800_000
+#: Words kept with their ids in each worker while a task runs.
+CACHE_WORDS = 400_000
 
 #: Letters of Latin-1, which no normal form composes further, and a sign after them.
 PLAIN = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+)([.,]?)")
@@ -82,6 +82,11 @@ class WordIds:
         word = word if word.isascii() else word.translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.signs[plain[2]]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.older = {}
+        self.known[""] = b""
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
             return self.whole(text)
@@ -240,5 +245,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | Callable[[], str], win
                     held, size = [], 0
         if held:
             yield emit(held, first)[0]
+        encode.forget()  # a worker lives on after its task
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
