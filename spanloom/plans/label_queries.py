@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import acquire, dense, metrics, spans, windows
+from spanloom.operators import acquire, dense, files, metrics, spans, windows
 from spanloom.session import table
 
 RADIUS = 4
@@ -169,6 +169,26 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.threshold_sweep(docs, "score", "yes", [100.0 * k for k in range(10)]))
 
 
+def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(files.exact_boundaries(labelled(spark, sf_dir), "truth", "pred"))
+
+
+def near_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of each document matched within four places."""
+    return files.near_boundaries(labelled(spark, sf_dir), "doc_id", "truth", "pred")
+
+
+def guest_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of digits and wide characters as guests (of base64 and sql) in carriers named by the source."""
+    docs = dense.with_runs(labelled(spark, sf_dir, "source"), "truth", "runs").withColumn("codes", dense.codes(F.col("pred")))
+    held = lambda r: F.aggregate(F.sequence(r["start"], r["end"] - 1), F.lit(0), lambda a, k: a + (F.get("codes", k) == r["label"]).cast("int"))
+    few = F.filter("runs", lambda r: r["label"].isin("D", "N"))
+    rows = docs.select("source", F.explode_outer(F.transform(few, lambda r: F.struct(r["label"].alias("label"), (r["end"] - r["start"]).alias("size"), held(r).alias("hits")))).alias("r")).filter("r IS NOT NULL")
+    carrier = F.when(F.col("source").endswith("1"), "PHP").when(F.col("source").endswith("2"), "HTML").otherwise("Shell script")
+    rows = rows.select(carrier.alias("carrier"), F.when(F.col("r.label") == "D", "base64").otherwise("sql").alias("class"), "r.size", "r.hits")
+    return files.guest_recovery(rows, "carrier", "carrier")
+
+
 CHARS = r"""
     c AS (SELECT doc_id, lang, source, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, ''))))::BIGINT AS pos FROM documents WHERE length(text) > 0),
     t AS (SELECT *, CASE WHEN regexp_full_match(c, '[A-Za-z]') THEN 'L' WHEN regexp_full_match(c, '[0-9]') THEN 'D' WHEN c IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) THEN 'W' WHEN ord(c) > 127 THEN 'N' ELSE 'P' END AS truth FROM c),
@@ -191,6 +211,7 @@ QUERIES = {
     for f in (
         label_runs, dense_round_trip, label_boundaries, label_confusion, class_metrics, overall_metrics, top_confusions, accuracy_by_group, boundary_confusion, region_coverage,
         space_filled, confidence_gated, smoothed, segment_algebra, byte_offsets, overlap_votes, review_spans, review_picks, threshold_sweep,
+        boundary_scores, near_boundaries, guest_recovery,
     )
 }
 
@@ -255,6 +276,16 @@ ORACLE_SQL = {
         b AS (SELECT *, k / greatest(least(pos + 13, n) - greatest(pos - 12, 0) - 1, 1) AS fr FROM s WHERE f = 1)
         SELECT id, pos::INTEGER AS boundary, greatest(pos - 20, 0)::INTEGER AS start, least(pos + 20, n)::INTEGER AS "end", round(m + 0.6 * fr, 6)::DOUBLE AS score, round(fr, 6)::DOUBLE AS flip_rate, l AS left_label, truth AS right_label
         FROM b WHERE round(m + 0.6 * fr, 6) >= 0.95""",
+    "boundary_scores": f"""
+        WITH {CHARS}, b AS (SELECT CASE WHEN lag(truth) OVER w != truth THEN 1 ELSE 0 END AS t, CASE WHEN lag(pred) OVER w != pred THEN 1 ELSE 0 END AS p FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        s AS (SELECT sum(t)::BIGINT AS n_true, sum(p)::BIGINT AS n_pred, sum(t * p)::BIGINT AS n_both FROM b)
+        SELECT n_true, n_pred, n_both, round(n_both / n_pred, 9) AS precision, round(n_both / n_true, 9) AS recall, round(2 * n_both / (n_true + n_pred), 9) AS f1 FROM s""",
+    "guest_recovery": f"""
+        WITH {CHARS}, {RUNS.format("truth")},
+        h AS (SELECT r.doc_id, r.run, any_value(r.label) AS label, any_value(x.source) AS source, count(*) AS size, sum((x.pred = r.label)::INTEGER) AS hits FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos >= r.start AND x.pos < r."end" WHERE r.label IN ('D', 'N') GROUP BY r.doc_id, r.run),
+        cr AS (SELECT CASE WHEN ends_with(source, '1') THEN 'PHP' WHEN ends_with(source, '2') THEN 'HTML' ELSE 'Shell script' END AS carrier, label = 'D' AS code, hits * 2 >= size AS found FROM h),
+        g AS (SELECT *, code OR carrier != 'PHP' AS guest FROM cr)
+        SELECT carrier, count(*) FILTER (guest) AS guests, count(*) FILTER (guest AND found) AS recovered, count(*) FILTER (guest AND code) AS encodings, count(*) FILTER (guest AND code AND found) AS encodings_recovered FROM g GROUP BY carrier""",
     "threshold_sweep": """
         WITH d AS (SELECT n_chars % 1000 AS score, toxic = 1 AS yes FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest(range(10)) * 100.0::DOUBLE AS tau),
         s AS (SELECT tau, count(*) FILTER (score >= tau AND yes) AS tp, count(*) FILTER (score >= tau AND NOT yes) AS fp, count(*) FILTER (score < tau AND yes) AS fn, count(*) FILTER (score < tau AND NOT yes) AS tn FROM d, t GROUP BY tau),
