@@ -284,8 +284,8 @@ ORACLE_SQL = {
         WITH {CHARS}, {RUNS.format("truth")},
         h AS (SELECT r.doc_id, r.run, any_value(r.label) AS label, any_value(x.source) AS source, count(*) AS size, sum((x.pred = r.label)::INTEGER) AS hits FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos >= r.start AND x.pos < r."end" WHERE r.label IN ('D', 'N') GROUP BY r.doc_id, r.run),
         cr AS (SELECT CASE WHEN ends_with(source, '1') THEN 'PHP' WHEN ends_with(source, '2') THEN 'HTML' ELSE 'Shell script' END AS carrier, label = 'D' AS code, hits * 2 >= size AS found FROM h),
-        g AS (SELECT *, code OR carrier != 'PHP' AS guest FROM cr)
-        SELECT carrier, count(*) FILTER (guest) AS guests, count(*) FILTER (guest AND found) AS recovered, count(*) FILTER (guest AND code) AS encodings, count(*) FILTER (guest AND code AND found) AS encodings_recovered FROM g GROUP BY carrier""",
+        gu AS (SELECT *, code OR carrier != 'PHP' AS guest FROM cr)
+        SELECT carrier, count(*) FILTER (guest) AS guests, count(*) FILTER (guest AND found) AS recovered, count(*) FILTER (guest AND code) AS encodings, count(*) FILTER (guest AND code AND found) AS encodings_recovered FROM gu GROUP BY carrier""",
     "threshold_sweep": """
         WITH d AS (SELECT n_chars % 1000 AS score, toxic = 1 AS yes FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest(range(10)) * 100.0::DOUBLE AS tau),
         s AS (SELECT tau, count(*) FILTER (score >= tau AND yes) AS tp, count(*) FILTER (score >= tau AND NOT yes) AS fp, count(*) FILTER (score < tau AND yes) AS fn, count(*) FILTER (score < tau AND NOT yes) AS tn FROM d, t GROUP BY tau),
