@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, hmm, html, langid, lines, packing, pii, quality, simhash, urls
+from spanloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from spanloom.session import table
 
 
@@ -35,7 +36,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.outcomes_of(table(spark, sf_dir, "labels")))
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"), urls.outcomes_of(table(spark, sf_dir, "labels")))
+    return judged.withColumn("bad_rate", F.round("bad_rate", 9))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +59,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("line_cover", "ngram_cover")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_packing, op3_html, op4_decontamination, op5_urls, op6_simhash, op7_lines, op8_hmm, op9_langid, op10_quality)
 }
-
-ORACLE_SQL: dict[str, str] = {}
