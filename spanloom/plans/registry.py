@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spanloom.plans import label_queries, store_queries, text_queries
 
-FLAGSHIP = "corpus_summary"
+FLAGSHIP = "class_metrics"
 _MODULES = (text_queries, label_queries, store_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
