@@ -56,3 +56,26 @@ def sized(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     """Each text repeated and cut to each of the sizes; empty texts give none."""
     rows = df.filter(F.length(text) > 0).withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
     return rows.withColumn("content", F.substring(F.repeat(F.col(text), F.ceil(F.col("size") / F.length(text)).cast("int")), F.lit(1), F.col("size")))
+
+
+def training_windows(df: DataFrame, key: str, labels: str, size: int, pad: str) -> DataFrame:
+    """(key, win, labels): label strings cut into windows end to end, the last one padded."""
+    n = F.length(labels)
+    rows = df.filter(n > 0).select(key, F.col(labels).alias("__all"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("win"))
+    return rows.select(key, "win", F.rpad(F.substring(F.col("__all"), F.col("win") * size + 1, F.lit(size)), F.lit(size), F.lit(pad)).alias("labels"))
+
+
+def dominant_window(df: DataFrame, labels: str, runs: str, host: Column, size: int, name: str) -> DataFrame:
+    """``df`` with (start, n, share): the window of ``size`` places, from the start of a run of the host, with most of its label.
+
+    The first of equals; null without such a run.
+    """
+    host_runs = F.filter(runs, lambda r: r["label"] == host)
+
+    def held(r: Column) -> Column:
+        part = F.substring(F.col(labels), r["start"] + 1, F.lit(size))
+        n = F.length(part) - F.length(F.replace(part, host, F.lit("")))
+        return F.struct(n.alias("n"), (-r["start"]).alias("key"), r["start"].alias("start"), F.round(n / F.length(part), 9).alias("share"))
+
+    best = F.array_max(F.transform(host_runs, held))
+    return df.withColumn(name, F.when(best.isNotNull(), F.struct(best["start"].alias("start"), best["n"].alias("n"), best["share"].alias("share"))))

@@ -69,3 +69,25 @@ def pool_ranges(counts: DataFrame, key: str, n: str) -> DataFrame:
     """(key, first, last): the range of global row numbers of each dataset of a pool, in key order."""
     upto = F.sum(n).over(Window.partitionBy().orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     return counts.select(key, (upto - F.col(n)).alias("first"), upto.alias("last"))
+
+
+def split_counts(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """``total`` dealt by share, rounded down; what is left goes one by one in the splits' order."""
+    total = max(0, total)
+    out = {name: int(total * share) for name, share in shares.items()}
+    left = total - sum(out.values())
+    return {name: n + left // len(out) + (k < left % len(out)) for k, (name, n) in enumerate(out.items())} if out else {}
+
+
+def shortfall(target: dict[str, int], held: dict[str, int]) -> dict[str, int]:
+    return {name: max(0, max(0, n) - max(0, held.get(name, 0))) for name, n in target.items()}
+
+
+def weighted_choice(key: Column, weights: dict[str, float]) -> Column:
+    """One of the names, drawn by the key's hash with the given weights (any sum)."""
+    total, upto, out = sum(max(0.0, w) for w in weights.values()), 0.0, None
+    share = sha_share(key)
+    for name, w in weights.items():
+        upto += max(0.0, w) / total
+        out = F.when(share < upto, name) if out is None else out.when(share < upto, name)
+    return out.otherwise(list(weights)[-1])

@@ -95,3 +95,25 @@ def cumulative_share(df: DataFrame, value: str, name: str) -> DataFrame:
 def matrix(long: DataFrame, metric: str, model: str, value: str, models: list[str]) -> DataFrame:
     """A row for each metric, a column for each of the named models."""
     return long.groupBy(metric).pivot(model, models).agg(F.first(value))
+
+
+def with_optimal(long: DataFrame, metric: str, optimal: str) -> DataFrame:
+    """The greatest finite optimal value that any report names for each metric."""
+    return long.groupBy(metric).agg(F.max(F.when(~F.isnan(optimal), F.col(optimal))).alias("optimal"))
+
+
+def compare_reports(long: DataFrame, a: str, b: str, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(name, a, b): values over optimal of two models for each metric, and the means of named groups of metrics.
+
+    long: (metric, model, value, optimal). A metric that only one report holds is an error.
+    """
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("value") / F.col("optimal")))
+    both = long.filter(F.col("model").isin(a, b)).groupBy("metric").agg(pick(a).alias("a"), pick(b).alias("b"))
+    lone = F.raise_error(F.concat(F.lit("only in one report: "), "metric")).cast("double")
+    both = both.select(F.col("metric").alias("name"), F.when(F.col("a").isNull() != F.col("b").isNull(), lone).otherwise(F.col("a")).alias("a"), "b")
+    named = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(m).alias("name")) for g, ms in groups.items() for m in ms])).alias("g")
+    rows = both.sparkSession.range(1).select(named).select("g.group", "g.name") if groups else None
+    if rows is None:
+        return both
+    means = both.join(F.broadcast(rows), "name").groupBy("group").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))  # as many rows as metrics are named
+    return both.unionByName(means.withColumnRenamed("group", "name"))

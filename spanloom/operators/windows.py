@@ -95,3 +95,35 @@ def stand_in_weight_sql(offset: str, length: str) -> str:
     return f"exp(-0.5 * ({x} / 0.5) * ({x} / 0.5))"
 
 
+
+
+def word_windows(df: DataFrame, text: str, size: int, stride: int, least: int, *keys: str) -> DataFrame:
+    """(keys, win, content): windows of ``size`` characters, cut at their last space if that is in their second half.
+
+    The windows of a text end before the first that is shorter than ``least``.
+    """
+    stride = stride if stride > 0 else size
+    n = F.length(text)
+    rows = df.filter(n >= least).select(*keys, F.col(text).alias("__text"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / stride).cast("int"))).alias("win"))
+    part = F.substring(F.col("__text"), F.col("win") * stride + 1, F.lit(size))
+    rows = rows.select(*keys, "win", part.alias("__part"))
+    space = F.length("__part") - F.instr(F.reverse("__part"), " ")
+    cut = F.when((F.length("__part") == size) & (F.instr("__part", " ") > 0) & (space >= size // 2), F.substring(F.col("__part"), F.lit(1), space)).otherwise(F.col("__part"))
+    rows = rows.select(*keys, "win", cut.alias("content"))
+    first_short = F.min(F.when(F.length("content") < least, F.col("win"))).over(Window.partitionBy(*keys))
+    return rows.withColumn("__stop", first_short).filter(F.col("__stop").isNull() | (F.col("win") < F.col("__stop"))).drop("__stop")
+
+
+def chunk_bounds(text: Column, most: int) -> Column:
+    """(start, end) of chunks of at most ``most`` characters, each ended after the last line end in its second half if there is one.
+
+    ``text`` is a column; one regular expression tells the cut of each chunk from what is left.
+    """
+    half = max(1, most // 2)
+    shapes = [rf".{{1,{most}}}\z", rf".{{1,{most}}}"]  # what is left fits; a full chunk
+    if half < most:
+        shapes.insert(1, rf".{{{half},{most - 1}}}\n")
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{'|'.join(shapes)})"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    add = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end")))).alias("out"))
+    return F.aggregate(parts, start, add, lambda acc: acc["out"])

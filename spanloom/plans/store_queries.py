@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotate, builders, dense, metrics, postprocess, spans, store
+from spanloom.operators import annotate, builders, dense, metrics, postprocess, sampling, spans, store, windows
 from spanloom.plans.label_queries import CHARS, RUNS
 from spanloom.session import table
 
@@ -150,6 +150,49 @@ def tiled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("s", s).select("doc_id", spans.joined(annotate.tiled(F.col("s"), F.col("n"))).alias("segments"))
 
 
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 300 characters of every document, 200 apart, ended at a space."""
+    out = windows.word_windows(table(spark, sf_dir, "documents"), "text", 300, 200, 120, "doc_id")
+    return out.select("doc_id", "win", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 400 characters, ended at line ends where that is possible."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", windows.chunk_bounds(F.col("text"), 400).alias("b"))
+    return docs.select("doc_id", F.posexplode_outer("b").alias("chunk", "x")).filter("x IS NOT NULL").select("doc_id", "chunk", "x.start", "x.end")
+
+
+def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents in windows of 512, padded; how many places of each label every window holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", dense.lexical_labels(F.coalesce("text", F.lit(""))).alias("truth"))
+    cut = builders.training_windows(docs, "doc_id", "truth", 512, "-")
+    count = lambda c: (F.length("labels") - F.length(F.replace(F.col("labels"), F.lit(c), F.lit("")))).cast("long")
+    return cut.select("doc_id", "win", *[count(c).alias(n) for c, n in (("L", "letters"), ("W", "spaces"), ("-", "padding"))])
+
+
+def window_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building modes drawn by weight for each document."""
+    weights = {"pure": 0.65, "line_inject": 0.15, "markdown": 0.10, "mixed": 0.15}
+    docs = table(spark, sf_dir, "documents").select("lang", sampling.weighted_choice(F.concat(F.lit("mode:"), F.col("doc_id").cast("string")), weights).alias("mode"))
+    return docs.groupBy("lang", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dominant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document, the 40 characters from the start of a word that hold most letters."""
+    docs = table(spark, sf_dir, "benchmark").select("item_id", dense.lexical_labels(F.coalesce("text", F.lit(""))).alias("truth"))
+    docs = builders.dominant_window(dense.with_runs(docs, "truth", "runs"), "truth", "runs", F.lit("L"), 40, "w")
+    return docs.select("item_id", "w.start", "w.n", "w.share")
+
+
+def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of events as two models: their measures over the best of all, and a mean of two of them."""
+    events = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("count"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    long = events.select(F.col("event_type").alias("model"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("count", "mean", "max")])).alias("m")).select("model", "m.*")
+    long = long.join(F.broadcast(store.with_optimal(long, "metric", "value")), "metric")
+    out = store.compare_reports(long, "click", "view", {"size": ("count", "max")})
+    return out.select("name", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
 def _scores(text: str, key: object) -> np.ndarray:
     """The stand-in scorer: mostly sure of a character's lexical class, with a doubt that moves with its place."""
     n = len(text)
@@ -186,7 +229,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_rounds, store_status, store_summary, store_page, store_merge, store_upsert, queried_share, change_ecdf, token_cost, metric_matrix, pair_chains, needle_mix, fenced_mix,
-        throughput_set, support_summary, parsed_blocks, near_items, tiled_segments, processed_segments, thesis_segments, label_prices,
+        throughput_set, support_summary, parsed_blocks, near_items, tiled_segments, processed_segments, thesis_segments, label_prices, word_windows, chunked_documents,
+        training_windows, window_modes, dominant_windows, report_compare,
     )
 }
 
@@ -249,6 +293,30 @@ ORACLE_SQL = {
         FROM i a JOIN i b ON b.item_id = a.item_id + 1""",
     "tiled_segments": """
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '0:20:a,20:' || greatest(coalesce(length(text), 0), 30) || ':b' END AS segments FROM documents""",
+    "word_windows": """
+        WITH w AS (SELECT doc_id, text, unnest(range((length(text) - 1) // 200 + 1))::INTEGER AS win FROM documents WHERE length(text) >= 120),
+        p AS (SELECT doc_id, win, substr(text, win * 200 + 1, 300) AS p FROM w),
+        c AS (SELECT doc_id, win, CASE WHEN length(p) = 300 AND contains(p, ' ') AND 300 - strpos(reverse(p), ' ') >= 150 THEN left(p, 300 - strpos(reverse(p), ' ')) ELSE p END AS c FROM p),
+        s AS (SELECT *, min(CASE WHEN length(c) < 120 THEN win END) OVER (PARTITION BY doc_id) AS stop FROM c)
+        SELECT doc_id, win, length(c) AS n, md5(c) AS digest FROM s WHERE stop IS NULL OR win < stop""",
+    "training_windows": f"""
+        WITH {CHARS}, w AS (SELECT doc_id, (pos // 512)::INTEGER AS win, count(*) FILTER (truth = 'L') AS letters, count(*) FILTER (truth = 'W') AS spaces, count(*) AS n FROM x GROUP BY 1, 2)
+        SELECT doc_id, win, letters, spaces, 512 - n AS padding FROM w""",
+    "window_modes": """
+        SELECT lang, CASE WHEN s < 0.65 / 1.05 THEN 'pure' WHEN s < 0.80 / 1.05 THEN 'line_inject' WHEN s < 0.90 / 1.05 THEN 'markdown' ELSE 'mixed' END AS mode, count(*) AS n
+        FROM (SELECT lang, (('0x' || left(sha256('mode:' || doc_id), 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS s FROM documents) GROUP BY ALL""",
+    "dominant_windows": r"""
+        WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS pos FROM benchmark WHERE length(text) > 0),
+        t AS (SELECT item_id, pos, regexp_full_match(c, '[A-Za-z]') AS l FROM c),
+        s AS (SELECT *, coalesce(lag(l) OVER w, false) AS before, count(*) FILTER (l) OVER w2 AS n, count(*) OVER w2 AS size FROM t WINDOW w AS (PARTITION BY item_id ORDER BY pos), w2 AS (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+        b AS (SELECT item_id, pos, n, size FROM s WHERE l AND NOT before QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, pos) = 1)
+        SELECT i.item_id, b.pos::INTEGER AS start, b.n::INTEGER AS n, round(b.n / b.size, 9)::DOUBLE AS share FROM benchmark i LEFT JOIN b USING (item_id)""",
+    "report_compare": """
+        WITH e AS (SELECT event_type, count(*)::DOUBLE AS c, avg(value) AS a, max(value) AS m FROM events GROUP BY 1),
+        o AS (SELECT max(c) AS c, max(a) AS a, max(m) AS m FROM e), x AS (SELECT * FROM e WHERE event_type = 'click'), y AS (SELECT * FROM e WHERE event_type = 'view'),
+        r AS (SELECT x.c / o.c AS c1, y.c / o.c AS c2, x.a / o.a AS a1, y.a / o.a AS a2, x.m / o.m AS m1, y.m / o.m AS m2 FROM x, y, o)
+        SELECT 'count' AS name, round(c1, 6) AS a, round(c2, 6) AS b FROM r UNION ALL SELECT 'mean', round(a1, 6), round(a2, 6) FROM r UNION ALL SELECT 'max', round(m1, 6), round(m2, 6) FROM r
+        UNION ALL SELECT 'size', round((c1 + m1) / 2, 6), round((c2 + m2) / 2, 6) FROM r""",
     "label_prices": """
         WITH x AS (SELECT source, toxic = 1 AS t, quality = 0 AS p FROM labels JOIN documents USING (doc_id)),
         s AS (SELECT source, count(*) FILTER (t) AS support, count(*) FILTER (t AND p) AS hit, count(*) FILTER (p) AS guessed FROM x GROUP BY source HAVING count(*) FILTER (t) + count(*) FILTER (p) > 0),

@@ -146,3 +146,41 @@ def test_window_spans(spark):
         assert n <= 64 and len(got) == 1 or len(got) == 1 + -(-(n - 64) // 32)
     assert [tuple(s) for s in one(spark, 25, lambda c: windows.cover_all_spans(c, 10), "int")] == [(0, 10), (10, 20), (15, 25)]
     assert one(spark, 9, lambda c: windows.cover_all_spans(c, 10), "int") == []
+
+
+def slow_chunks(t, most):
+    out, start = [], 0
+    while start < len(t):
+        end = min(len(t), start + most)
+        if end < len(t):
+            cut = t.rfind("\n", start + max(1, most // 2), end)
+            end = cut + 1 if cut > start else end
+        out.append((start, end))
+        start = end
+    return out
+
+
+def test_chunk_bounds_match_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab𝒳\n ") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    for most in (1, 2, 3, 10, 21):
+        got = many(spark, texts, lambda c, most=most: windows.chunk_bounds(c, most))
+        assert [[tuple(x) for x in g] for g in got] == [slow_chunks(t, most) for t in texts]
+
+
+def test_split_counts_and_shortfall():
+    from spanloom.operators.sampling import shortfall, split_counts
+
+    assert split_counts(10, {"train": 0.7, "val": 0.1, "test": 0.1}) == {"train": 8, "val": 1, "test": 1}
+    assert split_counts(-1, {"a": 0.5, "b": 0.5}) == {"a": 0, "b": 0} and sum(split_counts(1003, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).values()) == 1003
+    assert shortfall({"a": 5, "b": 2}, {"a": 1, "b": 9}) == {"a": 4, "b": 0}
+
+
+def test_compare_reports_needs_both(spark):
+    from spanloom.operators import store
+
+    long = spark.createDataFrame([("m", "x", 1.0, 2.0), ("m", "y", 2.0, 2.0), ("k", "x", 1.0, 1.0)], "metric string, model string, value double, optimal double")
+    with pytest.raises(Exception, match="only in one report"):
+        store.compare_reports(long, "x", "y", {}).collect()
+    got = {r.name: (r.a, r.b) for r in store.compare_reports(long.filter("metric = 'm'"), "x", "y", {"g": ("m",)}).collect()}
+    assert got == {"m": (0.5, 1.0), "g": (0.5, 1.0)}
