@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,5 +41,21 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, unless their path holds it anyway."""
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in known or Path.cwd() == root:
+        return
+    folder = tempfile.mkdtemp(prefix="spanloom-code-")  # read by the driver alone, which serves it
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/spanloom", "zip", root, "spanloom"))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
