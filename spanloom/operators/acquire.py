@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,37 @@ def pick(spans: Column, most: int = 16, gap: int = 24) -> Column:
 def mix_share(stored: Column, full: int, most: float) -> Column:
     """Share of reviewed rows in training: grows with how many are stored, up to ``most``."""
     return F.least(F.lit(most), F.lit(most) * stored / full)
+
+
+def scored(df: DataFrame, key: str, text: str, scorer: Callable[[str, object], np.ndarray]) -> DataFrame:
+    """(key, text, labels, doubt): each character's likeliest class as a code from A on, and its entropy, by a plugged-in scorer."""
+    kind = dict(df.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, t in zip(frame[key], frame[text]):
+                if t:
+                    p = np.clip(scorer(t, k), 1e-8, 1.0)
+                    p = p / p.sum(axis=1, keepdims=True)
+                    rows.append((k, t, "".join(chr(65 + c) for c in p.argmax(axis=1)), (-(p * np.log(p)).sum(axis=1) / np.log(p.shape[1])).tolist()))
+            yield pd.DataFrame(rows, columns=[key, text, "labels", "doubt"])
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, {text} string, labels string, doubt array<double>")
+
+
+def review_round(df: DataFrame, key: str, text: str, seen: DataFrame, scorer: Callable[[str, object], np.ndarray], round_id: str, requests: int, batch: int, most: int = 16) -> DataFrame:
+    """Snippets to be reviewed in a round: (round_id, key, sample_hash, start, end, boundary, score, snippet).
+
+    Texts whose hash is in ``seen`` (sample_hash) are left out and copies scored once.
+    Their spans are picked, and of all the ``requests * batch`` with the highest scores
+    kept, by key and place on a tie; only that many rows ever meet in one place.
+    """
+    rows = df.filter(F.length(text) > 0).withColumn("sample_hash", F.sha2(F.col(text), 256))
+    first = rows.groupBy("sample_hash").agg(F.min(key).alias(key), F.first(text).alias(text))
+    fresh = first.join(seen.select("sample_hash").distinct(), "sample_hash", "left_anti")
+    found = candidates(scored(fresh, key, text, scorer), "labels", "doubt", "__spans")
+    picked = found.select(key, text, F.explode_outer(pick(F.col("__spans"), most)).alias("s")).filter("s IS NOT NULL")
+    snippet = F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    out = picked.select(F.lit(round_id).alias("round_id"), key, F.sha2(F.col(text), 256).alias("sample_hash"), "s.start", "s.end", "s.boundary", "s.score", snippet.alias("snippet"))
+    return out.orderBy(F.desc("score"), key, "boundary").limit(requests * batch)

@@ -79,3 +79,45 @@ def dominant_window(df: DataFrame, labels: str, runs: str, host: Column, size: i
 
     best = F.array_max(F.transform(host_runs, held))
     return df.withColumn(name, F.when(best.isNotNull(), F.struct(best["start"].alias("start"), best["n"].alias("n"), best["share"].alias("share"))))
+
+
+def payloads(hosts: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(rank, needle, needle_label): a template for each host's rank, its {ip}, {port} and {name} filled from a hash of the rank.
+
+    Templates are (text, label); fill them with inert text in tests.
+    """
+    texts, labels = (F.array(*[F.lit(t[k]) for t in templates]) for k in (0, 1))
+    digits = F.sha2(F.concat(F.lit("payload:"), F.col("rank").cast("string")), 256)
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10)
+    which = F.pmod(F.col("rank"), F.lit(len(templates))).cast("int")
+    filled = F.get(texts, which)
+    for mark, value in (("{ip}", F.concat_ws(".", F.lit("10"), byte(0), byte(1), byte(2))), ("{port}", (F.lit(1024) + byte(3).cast("int") * 200).cast("string")), ("{name}", F.substring(digits, 9, 8))):
+        filled = F.replace(filled, F.lit(mark), value)
+    return hosts.select("rank", filled.alias("needle"), F.get(labels, which).alias("needle_label"))
+
+
+def remove_substring(df: DataFrame, text: str, segments: str, start: Column, end: Column) -> DataFrame:
+    """``df`` with [start, end) taken out of the text and of its segments."""
+    cut = F.concat(F.substring(F.col(text), F.lit(1), start), F.substring(F.col(text), end + 1, F.length(text)))
+    return df.withColumn("__cut", cut).withColumn(segments, spans.delete(F.col(segments), start, end)).withColumn(text, F.col("__cut")).drop("__cut")
+
+
+def spaced_hex(text: Column, every: int) -> Column:
+    """Hexadecimal text with a space after every ``every`` digits."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(text, r"\s", ""), f"(.{{{every}}})", "$1 "))
+
+
+def replay(fresh: DataFrame, stored: DataFrame, key: Column, share: float) -> DataFrame:
+    """Fresh rows, and of the stored ones the given share by hash."""
+    from spanloom.functions.encoding import sha_share
+
+    return fresh.unionByName(stored.filter(sha_share(key) < share), allowMissingColumns=True)
+
+
+def random_rows(rows: DataFrame, key: Column, length: int, alphabet: str) -> DataFrame:
+    """``rows`` with ``content``: text without meaning, its characters drawn by hash from an alphabet of at most 256."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((length - 1) // 32)), lambda k: F.sha2(F.concat(key, F.lit(":"), k.cast("string")), 256))
+    digits = F.array_join(blocks, "")
+    letters = F.split(F.lit(alphabet), "")
+    pick = lambda i: F.get(letters, F.pmod(F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"), F.lit(len(alphabet))))
+    return rows.withColumn("content", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), pick), ""))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from spanloom.operators.postprocess import Page, edges
+from spanloom.operators.postprocess import Page, absorb_sweeps, edges, fill_pairs, snap
 
 # Hosts that running text may belong to, and (inner, host) pairs.
 TEXT_HOSTS = ("markdown", "restructuredtext", "tex")
@@ -130,3 +130,33 @@ def line_edges(text: str, labels: np.ndarray) -> np.ndarray:
             elif labels[rim] != one and one == two:
                 labels[rim] = one
     return labels
+
+
+def process_page(text: str, labels: np.ndarray, probs: np.ndarray, markdown: int, pairs: list[tuple[int, int, bool]], reach: int = 2, shortest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The browsing profile's chain: (labels, step), where step is the number of the last step that changed a place, 0 for none.
+
+    Fences, boundaries, pairs, hosts, short runs, then boundaries, pairs, fences and hosts
+    again, then line edges. What a fence settles is left alone by the steps after it.
+    """
+    page = Page(text, probs)
+    settled = np.zeros(len(labels), bool)
+    step_of = np.zeros(len(labels), np.int64)
+
+    def fences(x: np.ndarray) -> np.ndarray:
+        nonlocal settled
+        new, found = fill_fences(page, x, markdown)
+        new = np.where(settled, x, new)
+        settled = settled | found
+        return new
+
+    steps = {
+        "fences": fences, "boundaries": lambda x: snap(page, x, reach, shortest), "pairs": lambda x: fill_pairs(page, x, reach),
+        "hosts": lambda x: local_hosts(text, x, pairs, shortest), "runs": lambda x: absorb_sweeps(page, x, shortest), "edges": lambda x: line_edges(text, x),
+    }
+    for number, name in enumerate(("fences", "boundaries", "pairs", "hosts", "runs", "boundaries", "pairs", "fences", "hosts", "edges"), 1):
+        new = steps[name](labels) if len(labels) else labels
+        if name != "fences":
+            new = np.where(settled, labels, new)
+        step_of = np.where(new != labels, number, step_of)
+        labels = new
+    return labels, step_of

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotate, builders, dense, metrics, postprocess, sampling, spans, store, windows
+from spanloom.operators import acquire, annotate, builders, dense, metrics, postprocess, sampling, spans, store, windows
 from spanloom.plans.label_queries import CHARS, RUNS
 from spanloom.session import table
 
@@ -218,6 +218,13 @@ def thesis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess.segment(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text", _scores, NAMES, options)
 
 
+def review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round over the benchmark's texts: those that no document equals are scored by the stand-in, 20 requests of 5 snippets."""
+    seen = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sample_hash"))
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
+    return acquire.review_round(items, "id", "text", seen, _scores, "round-1", 20, 5).drop("snippet")
+
+
 def label_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall of the label ``toxic`` told from low quality, by source."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("source", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("truth"), F.when(F.col("quality") == 0, "toxic").otherwise("clean").alias("pred"))
@@ -230,7 +237,7 @@ QUERIES = {
     for f in (
         store_rounds, store_status, store_summary, store_page, store_merge, store_upsert, queried_share, change_ecdf, token_cost, metric_matrix, pair_chains, needle_mix, fenced_mix,
         throughput_set, support_summary, parsed_blocks, near_items, tiled_segments, processed_segments, thesis_segments, label_prices, word_windows, chunked_documents,
-        training_windows, window_modes, dominant_windows, report_compare,
+        training_windows, window_modes, dominant_windows, report_compare, review_round,
     )
 }
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructType
 
 from spanloom.functions.text import TEXT_FIELDS, primary_text
@@ -114,3 +115,20 @@ def unmatched(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def matches(name: Column, accepted: tuple[str, ...]) -> Column:
     return F.lower(F.trim(name)).isin(*accepted)
+
+
+def compatible_stores(spark: SparkSession, root: str, columns: tuple[str, ...]) -> list[str]:
+    """Tables under a folder that have all of the columns, by path; plain files and folders without a table are passed over."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = []
+    for status in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p):
+        if not status.isDirectory():
+            continue
+        path = status.getPath().toString()
+        try:
+            names = spark.read.parquet(path).columns
+        except AnalysisException:
+            continue
+        if set(columns) <= set(names):
+            found.append(path)
+    return sorted(found)

@@ -97,3 +97,56 @@ def test_heal_rows(spark):
     rows = spark.createDataFrame([(1, "ab", [("x", "a"), ("y", "b")]), (2, None, None)], "id long, source string, parts array<struct<type:string,content:string>>")
     got = {r.id: (r.level, [tuple(s) for s in r.segments]) for r in heal.heal(rows, "id", "source", "parts").collect()}
     assert got == {1: ("exact", [(0, 1, "x"), (1, 2, "y")]), 2: ("refused", [])}
+
+
+def test_browsing_chain_traces_its_steps():
+    text = "a ```x y``` b\nplain words here\n"
+    labels = np.zeros(len(text), int)
+    labels[6] = 1
+    got, steps = rules.process_page(text, labels, np.full((len(text), 3), 1 / 3), 2, [(1, 0, True)])
+    assert got[2:5].tolist() == [2] * 3 and steps[2] == 1 and (got[5:8] == got[5]).all()
+    assert (steps[got == labels] == 0).all() or steps.max() > 1
+    empty, none = rules.process_page("", np.zeros(0, int), np.zeros((0, 3)), 2, [])
+    assert empty.size == none.size == 0
+
+
+def test_review_round_skips_seen_texts_and_caps(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import acquire
+
+    rows = spark.createDataFrame([(i, "abc 123 " * 30 + f"end {i}") for i in range(5)] + [(9, "abc 123 " * 30 + "end 1"), (10, None)], "id long, text string")
+    seen = rows.filter("id = 0").select(F.sha2("text", 256).alias("sample_hash"))
+    scorer = lambda t, k: np.array([[0.6, 0.4] if c.isalpha() else [0.4, 0.6] for c in t])
+    got = acquire.review_round(rows, "id", "text", seen, scorer, "r1", 2, 1).collect()
+    assert len(got) == 2 and all(r.id in (1, 2, 3, 4) and r.snippet and r.round_id == "r1" for r in got)
+    every = acquire.review_round(rows, "id", "text", seen, scorer, "r1", 100, 10).collect()
+    assert {r.id for r in every} == {1, 2, 3, 4} and [r.score for r in every] == sorted((r.score for r in every), reverse=True)
+
+
+def test_more_builders(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import builders, spans
+
+    hosts = spark.createDataFrame([(1,), (2,)], "rank int")
+    got = {r.rank: r for r in builders.payloads(hosts, [("nc {ip} {port}", "shell"), ("x {name}", "python")]).collect()}
+    assert got[2].needle.startswith("nc 10.") and got[2].needle_label == "shell" and got[1].needle_label == "python" and "{" not in got[1].needle + got[2].needle
+    df = spark.createDataFrame([("abcdef", [(0, 3, "x"), (3, 6, "y")])], f"t string, s {spans.SEGMENTS}")
+    r = builders.remove_substring(df, "t", "s", F.lit(2), F.lit(4)).first()
+    assert r.t == "abef" and [tuple(x) for x in r.s] == [(0, 2, "x"), (2, 4, "y")]
+    assert spark.range(1).select(builders.spaced_hex(F.lit("aab bcc d"), 2).alias("h")).first().h == "aa bb cc d"
+    stored = spark.range(1000).select(F.col("id").cast("string").alias("id"))
+    n = builders.replay(stored.limit(0), stored, F.col("id"), 0.3).count()
+    assert 230 < n < 370
+    texts = [r.content for r in builders.random_rows(stored.limit(20), F.col("id"), 50, "abc").collect()]
+    assert all(len(t) == 50 and set(t) <= set("abc") for t in texts) and len(set(texts)) == 20
+
+
+def test_compatible_stores(spark, tmp_path):
+    from spanloom.sources.readers import compatible_stores
+
+    spark.range(2).selectExpr("id", "id AS status").write.parquet(str(tmp_path / "good"))
+    spark.range(2).write.parquet(str(tmp_path / "other"))
+    (tmp_path / "text").write_text("x")
+    assert [p.rpartition("/")[2] for p in compatible_stores(spark, str(tmp_path), ("id", "status"))] == ["good"]
