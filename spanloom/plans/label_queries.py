@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import acquire, dense, files, metrics, spans, windows
-from spanloom.session import table
+from spanloom.session import spread, table
 
 RADIUS = 4
 
 
 def labelled(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """(doc_id, keep, text, truth, pred); null texts are empty."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text")))
     docs = docs.withColumn("truth", dense.lexical_labels(F.col("text")))
     return docs.withColumn("pred", dense.perturbed(F.col("truth"), F.col("doc_id")))
 
@@ -132,7 +132,7 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of overlapping windows of turns, voted with Gaussian weights; how many places change label."""
-    turns = table(spark, sf_dir, "conversations").filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
     cut = turns.select("id", "truth", F.posexplode_outer(windows.overlapping_spans(F.length("text"), 64)).alias("k", "s"))
     marked = cut.select("id", "s", F.posexplode_outer(F.transform(dense.codes(F.substring(F.col("truth"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))), lambda c, i: F.when(F.pmod(i + F.col("k"), F.lit(11)) == 0, "P").otherwise(c))).alias("off", "label"))
@@ -146,7 +146,7 @@ def _doubt(q: float) -> str:
 
 def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored boundaries of turns, with a stand-in probability for each place."""
-    turns = table(spark, sf_dir, "conversations").filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
     q = lambda i: F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0
     turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(q(i), 5)))
@@ -156,7 +156,7 @@ def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of each turn that are picked greedily."""
-    turns = table(spark, sf_dir, "conversations").filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
     turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0, 5)))
     found = acquire.candidates(turns, "truth", "doubt", "spans", context=20, least=0.5)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import acquire, annotate, builders, dense, metrics, postprocess, sampling, spans, store, windows
 from spanloom.plans.label_queries import CHARS, RUNS
-from spanloom.session import table
+from spanloom.session import spread, table
 
 TIERS = [(200, 2.0), (1000, 1.5), (None, 1.0)]
 EVENTS = ["click", "purchase", "view"]
@@ -210,7 +210,7 @@ NAMES = ("letter", "digit", "space", "sign")
 
 def processed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of texts after the whole post-processing chain; the scorer is a stand-in."""
-    return postprocess.segment(table(spark, sf_dir, "documents"), "doc_id", "text", _scores, NAMES)
+    return postprocess.segment(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", _scores, NAMES)
 
 
 def thesis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
