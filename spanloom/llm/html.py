@@ -19,7 +19,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("head script style noscript template iframe svg math nav header footer aside form menu dialog button select textarea input title object embed canvas audio video search".split())
-WHOLE = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
 #: Open elements that a start tag ends, up to the element that holds them.
 ENDED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -211,9 +211,9 @@ def measure(nodes: list[Node]) -> None:
 def select(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order.
 
-    The node whose children's densities have the greatest sum, and what stands beside it
-    on the way up to the body and is at least as dense as the least dense node on that way.
-    Inside an article or main element, that element is the answer.
+    The node whose children's densities have the greatest sum, widened to the outermost
+    article or main element that holds it, and what stands beside it on the way up to the
+    body and is at least as dense as the least dense node on that way.
     """
     nodes = in_order(root)
     measure(nodes)
@@ -224,30 +224,15 @@ def select(root: Node) -> list[Node]:
     while node is not None:
         way.append(node)
         node = node.parent
-    holders = [x for x in way if x.name in ("article", "main")]
-    if not holders:
-        inside = [x for x in nodes if x.name in ("article", "main") and best in _ancestors(x) and x.chars]
-        tops = [x for x in inside if not any(y in inside for y in _ancestors(x)[1:])]
-        if tops:
-            return tops
-    if holders:
-        return [holders[-1]]
     body = [x for x in way if x.name not in ("#root", "html")] or way
     threshold = min(x.density for x in body)
-    chosen = {id(best)}
-    for below, above in zip(way, way[1:]):
+    holder = max((i for i, x in enumerate(way) if x.name in ("article", "main")), default=0)
+    chosen = {id(way[holder])}
+    for below, above in zip(way[holder:], way[holder + 1 :]):
         chosen |= {id(c) for c in above.children() if c is not below and c.density >= threshold > 0}
     return [x for x in nodes if id(x) in chosen]
 
 
-def _ancestors(node: Node | None) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out
-
-
 def blocks(node: Node) -> Iterator[str]:
     """Texts of the blocks under a node, character references decoded, white space as one space."""
     held: list[str] = []

@@ -49,6 +49,18 @@ def test_densest_subtree_without_article():
     assert html.main_text(page) == "\n".join([(WORDS * 5).strip()] * 2)
 
 
+def test_articles_widen_but_never_narrow():
+    long, links = (WORDS * 5).strip(), "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(40))
+    teaser = f"<body><ul>{links}</ul><div><p>{long}</p><p>{long}</p><article class=teaser>short</article></div></body>"
+    assert html.main_text(teaser) == f"{long}\n{long}\nshort"
+    comment = f"<body><ul>{links}</ul><div><p>{long}</p><p>{long}</p></div><article class=comment><p>{long}</p><p>{long}</p><p>nice post</p></article></body>"
+    assert html.main_text(comment) == f"{long}\n{long}"
+    siblings = f"<body><ul>{links}</ul><div><article><p>{long}</p><p>{long}</p><p>{long}</p></article><article><p>second {long}</p></article><article><a href=/more>more</a></article></div></body>"
+    assert html.main_text(siblings) == "\n".join([long] * 3 + [f"second {long}"])
+    widened = f"<body><ul>{links}</ul><article><h1>Head</h1><div><p>{long}</p><p>{long}</p></div></article></body>"
+    assert html.main_text(widened) == f"Head\n{long}\n{long}"
+
+
 def test_broken_pages_end():
     assert html.main_text("<div>" * 20_000 + "x") == "x"
     assert html.main_text("plain <5 text") == "plain <5 text"
