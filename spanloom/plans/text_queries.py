@@ -89,9 +89,15 @@ def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(encoding.encode("hex", data)).alias("hex_md5"), F.md5(encoding.encode("base64", data)).alias("base64_md5"), *[encoding.most_input(k, F.col("n_chars")).alias(f"room_{k}") for k in ("hex", "base64", "base32", "base85")])
 
 
+def encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in hexadecimal and base 64; ``encode_text`` is held to SQL that takes 300 characters."""
+    data = F.encode("text", "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(encoding.encode("hex", data)).alias("hex_md5"), F.md5(encoding.encode("base64", data)).alias("base64_md5"))
+
+
 def encode_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base 32, 58 and 85, which neither engine has built in."""
-    data = F.encode(F.substring("text", 1, 60), "UTF-8")
+    """Whole texts in base 32, 58 and 85, which neither engine has built in."""
+    data = F.encode("text", "UTF-8")
     return table(spark, sf_dir, "documents").select("doc_id", *[encoding.encode(k, data).alias(k) for k in ("base32", "base58", "base85")], encoding.most_input("base58", F.col("n_chars")).alias("room_base58"))
 
 
@@ -221,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_summary, ascii_map, text_measures, clamp_bytes, web_text, strip_scripts, strip_svg_style, clean_markdown, php_code, license_filter, canonical_labels, encode_text,
-        encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, full_cycle_sample, pool_locate,
+        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, full_cycle_sample, pool_locate,
         byte_windows, overlapping_spans, cover_all_spans, length_buckets, memory_batches, pack_conversations,
     )
 }
@@ -263,6 +269,7 @@ ORACLE_SQL = {
     "encode_text": """
         SELECT doc_id, md5(lower(hex(encode(left(text, 300))))) AS hex_md5, md5(base64(encode(left(text, 300)))) AS base64_md5, n_chars // 2 AS room_hex, n_chars // 4 * 3 AS room_base64,
           n_chars // 8 * 5 AS room_base32, n_chars // 5 * 4 AS room_base85 FROM documents""",
+    "encode_whole": "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex_md5, md5(base64(encode(text))) AS base64_md5 FROM documents",
     "route_documents": f"""
         SELECT lang, CASE WHEN i < 80 THEN 'window' WHEN i < 90 THEN 'monitor' ELSE 'test' END AS route, CASE WHEN u < 70 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM (
           SELECT lang, {_hash8.format("lang || '|' || left(text, 256)")} % 100 AS i, {_hash8.format("sha256(text)")} % 80 AS u FROM documents) GROUP BY ALL""",
