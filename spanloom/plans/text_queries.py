@@ -15,6 +15,9 @@ RAW_NAMES = (
 )
 LICENSES = (("MIT",), ("Apache-2.0", "GPL-3.0"), ("BSD-3-Clause",), (), ("Proprietary",), ("Creative Commons",), ("CC BY-NC 4.0",), ("none",), ("Unlicense", "mit-0"), ("accepted terms",))
 
+#: Characters that the reference hashes to tell whether a text was seen.
+MAX_INPUT_CHARS = 10_000
+
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and characters for each language and source."""
@@ -141,6 +144,14 @@ def unseen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.unseen(docs, "text", seen, 40).select("doc_id", "sha")
 
 
+def unseen_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first 10,000 characters, as the reference hashes them, aren't those of any labelled document; ``unseen_documents`` is held to SQL that takes 40."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hashed = docs.select("doc_id", F.sha2(F.substring("text", 1, MAX_INPUT_CHARS), 256).alias("sha"))  # before the join, which then moves no text
+    seen = hashed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("sha")
+    return sampling.unseen(docs, "text", seen, MAX_INPUT_CHARS).select("doc_id", "sha")
+
+
 def full_cycle_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A walk over all documents by rank, in steps of 7919."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -227,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_summary, ascii_map, text_measures, clamp_bytes, web_text, strip_scripts, strip_svg_style, clean_markdown, php_code, license_filter, canonical_labels, encode_text,
-        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, full_cycle_sample, pool_locate,
+        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, unseen_unlabelled, full_cycle_sample, pool_locate,
         byte_windows, overlapping_spans, cover_all_spans, length_buckets, memory_batches, pack_conversations,
     )
 }
@@ -283,6 +294,9 @@ ORACLE_SQL = {
     "round_robin": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS round FROM documents",
     "stratified_split": "SELECT lang, doc_id, CASE WHEN r <= 20 THEN 'A' ELSE 'B' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50",
     "unseen_documents": "SELECT doc_id, sha256(left(text, 40)) AS sha FROM documents WHERE sha256(left(text, 40)) NOT IN (SELECT sha256(left(text, 40)) FROM documents WHERE doc_id % 2 = 0)",
+    "unseen_unlabelled": f"""
+        WITH d AS (SELECT doc_id, sha256(left(text, {MAX_INPUT_CHARS})) AS sha FROM documents), s AS (SELECT sha FROM d SEMI JOIN labels USING (doc_id))
+        SELECT doc_id, sha FROM d ANTI JOIN s USING (sha)""",
     "full_cycle_sample": "SELECT doc_id, (11 + 7919 * doc_id) % 1000003 AS place FROM documents",
     "pool_locate": """
         WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS a, sum(n) OVER (ORDER BY source) AS b FROM c)

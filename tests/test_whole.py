@@ -40,6 +40,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
     items = [OPENING * 4, OPENING * 4 + "12345678", OPENING * 4 + "12345679 and much more than that", OPENING, "z" * 400, "z" * 380, "z" * 361]
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    spark.createDataFrame([(2, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     return top
 
 
@@ -62,3 +63,8 @@ def test_whole_items_are_compared(spark, tables):
         want[i] = (d if d <= allowed else None, allowed)
     assert {r.item_id: (r.distance, r.allowed) for r in QUERIES["near_whole_items"](spark, tables).collect()} == want
     assert [want[i][0] for i in range(6)] == [8, None, None, None, 20, 19]
+
+
+def test_unseen_texts_may_share_an_opening(spark, tables):
+    got = {r.doc_id: r.sha for r in QUERIES["unseen_unlabelled"](spark, tables).collect()}
+    assert got == {i: hashlib.sha256(TEXTS[i][:10_000].encode()).hexdigest() for i in (0, 1, 3, 4, 6)}
