@@ -168,6 +168,14 @@ def pool_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(ranges, hit).select("global_row", "source", (F.col("global_row") - F.col("first")).alias("row"))
 
 
+def pool_locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every global row number of a pool of sources, traced to source and row within it; ``pool_locate`` is held to SQL that takes each third."""
+    docs = table(spark, sf_dir, "documents")
+    ranges = F.broadcast(sampling.pool_ranges(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n"))  # a row for each source
+    hit = (F.col("global_row") >= F.col("first")) & (F.col("global_row") < F.col("last"))
+    return docs.select(F.col("doc_id").alias("global_row")).join(ranges, hit).select("global_row", "source", (F.col("global_row") - F.col("first")).alias("row"))
+
+
 def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 1024 bytes, mapped to the alphabet and cut again."""
     cut = windows.byte_windows(table(spark, sf_dir, "documents"), "text", 1024, "doc_id")
@@ -238,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_summary, ascii_map, text_measures, clamp_bytes, web_text, strip_scripts, strip_svg_style, clean_markdown, php_code, license_filter, canonical_labels, encode_text,
-        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, unseen_unlabelled, full_cycle_sample, pool_locate,
+        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, unseen_unlabelled, full_cycle_sample, pool_locate, pool_locate_all,
         byte_windows, overlapping_spans, cover_all_spans, length_buckets, memory_batches, pack_conversations,
     )
 }
@@ -301,6 +309,9 @@ ORACLE_SQL = {
     "pool_locate": """
         WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS a, sum(n) OVER (ORDER BY source) AS b FROM c)
         SELECT doc_id AS global_row, source, (doc_id - a)::BIGINT AS "row" FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d JOIN r ON doc_id >= a AND doc_id < b""",
+    "pool_locate_all": """
+        WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS a, sum(n) OVER (ORDER BY source) AS b FROM c)
+        SELECT doc_id AS global_row, r.source, (doc_id - a)::BIGINT AS "row" FROM documents d JOIN r ON doc_id >= a AND doc_id < b""",
     "byte_windows": rf"""
         WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, '')))) AS pos FROM documents WHERE length(text) > 0),
         s AS (SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM c),

@@ -68,3 +68,8 @@ def test_whole_items_are_compared(spark, tables):
 def test_unseen_texts_may_share_an_opening(spark, tables):
     got = {r.doc_id: r.sha for r in QUERIES["unseen_unlabelled"](spark, tables).collect()}
     assert got == {i: hashlib.sha256(TEXTS[i][:10_000].encode()).hexdigest() for i in (0, 1, 3, 4, 6)}
+
+
+def test_every_row_of_a_pool_is_located(spark, tables):
+    got = sorted((r.global_row, r.source, r.row) for r in QUERIES["pool_locate_all"](spark, tables).collect())
+    assert got == [(0, "s0", 0), (1, "s0", 1), (2, "s0", 2), (3, "s0", 3), (4, "s1", 0), (5, "s1", 1), (6, "s1", 2)]
