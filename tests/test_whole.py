@@ -40,6 +40,8 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
     items = [OPENING * 4, OPENING * 4 + "12345678", OPENING * 4 + "12345679 and much more than that", OPENING, "z" * 400, "z" * 380, "z" * 361]
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    turns = [(1, 0, "user", "a" * 300 + " " + "b" * 600 + "7" + "c" * 600 + "."), (1, 1, "user", " ".join(["word"] * 2500))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{top}/conversations.parquet")
     spark.createDataFrame([(2, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     return top
 
@@ -73,3 +75,10 @@ def test_unseen_texts_may_share_an_opening(spark, tables):
 def test_every_row_of_a_pool_is_located(spark, tables):
     got = sorted((r.global_row, r.source, r.row) for r in QUERIES["pool_locate_all"](spark, tables).collect())
     assert got == [(0, "s0", 0), (1, "s0", 1), (2, "s0", 2), (3, "s0", 3), (4, "s1", 0), (5, "s1", 1), (6, "s1", 2)]
+
+
+def test_reviews_take_the_operators_parameters(spark, tables):
+    spans = [r for r in QUERIES["review_spans_default"](spark, tables).collect() if r.id == 1000]
+    assert [r.boundary for r in sorted(spans)] == [300, 301, 901, 902, 1502] and all((r.start, r.end) == (max(r.boundary - 250, 0), min(r.boundary + 250, 1503)) for r in spans)
+    picks = QUERIES["review_picks"](spark, tables).collect()
+    assert sum(r.id == 1001 for r in picks) == 16 and all(r.end - r.start > 40 for r in picks)
