@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PLACEHOLDER = "¤"
 
@@ -79,12 +83,27 @@ def web_text(text: Column) -> Column:
 def to_fixpoint(text: Column, pattern: str, rounds: int = 3) -> Column:
     """Matches removed again and again, since a removal may join what becomes a match.
 
-    A match can only arise anew where one was nested in the parts of another; ``rounds``
-    bounds the nesting that is followed.
+    A match can only arise anew where one was nested in the parts of another. ``rounds``
+    rounds are built in; rows that still match, which nest deeper, are looped over alone
+    until nothing changes.
     """
     for _ in range(rounds):
         text = F.regexp_replace(text, pattern, "")
-    return text
+    deep = F.when(text.rlike(pattern), text)
+    return F.coalesce(_looped(deep, F.lit(pattern)), text)
+
+
+@F.pandas_udf(StringType())
+def _looped(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    def loop(x: str, p: str) -> str:
+        was = None
+        # as in Java: white space is ASCII alone
+        found = re.compile(p, re.ASCII)
+        while was != x:
+            was, x = x, found.sub("", x)
+        return x
+
+    return pd.Series([None if x is None else loop(x, p) for x, p in zip(text, pattern)], dtype=object)
 
 
 def strip_scripts(html: Column) -> Column:

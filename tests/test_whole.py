@@ -82,3 +82,18 @@ def test_reviews_take_the_operators_parameters(spark, tables):
     assert [r.boundary for r in sorted(spans)] == [300, 301, 901, 902, 1502] and all((r.start, r.end) == (max(r.boundary - 250, 0), min(r.boundary + 250, 1503)) for r in spans)
     picks = QUERIES["review_picks"](spark, tables).collect()
     assert sum(r.id == 1001 for r in picks) == 16 and all(r.end - r.start > 40 for r in picks)
+
+
+def test_deeply_nested_blocks_go(spark, tmp_path):
+    def nested(tag, n):
+        out = f"<{tag}>x</{tag}>"
+        for _ in range(n):
+            out = f"<{tag[:3]}{out}{tag[3:]}>x</{tag}>"
+        return out
+
+    pages = [f"a{nested(tag, n)}b" for tag in ("script", "style") for n in (0, 1, 2, 3, 7, 12)] + [None, "", "plain"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.n for r in QUERIES["strip_scripts"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([2] * 12 + [None, 0, 5]))
+    got = {r.page_id: r.digest for r in QUERIES["strip_svg_style"](spark, str(tmp_path)).collect()}
+    assert {got[i] for i in range(6, 12)} == {hashlib.md5(b"ab").hexdigest()}
