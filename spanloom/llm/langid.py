@@ -16,7 +16,7 @@ from spanloom.llm.text import crc_mod
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 SIZES = (1, 2, 3)
-#: Bound of the labelled sample: documents for each language, drawn by hash, and languages.
+#: Bound of the labelled sample: documents for each language, drawn by hash.
 SAMPLE = 300
 EPOCHS, RATE, BATCH = 60, 2.0, 32
 FOLDS, HELD_OUT = 4, 2
@@ -72,13 +72,30 @@ class Model:
     threshold: float
 
 
+class Rows:
+    """Average subword vectors held sparse: bucket numbers and shares of each document; parts of them are made dense."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def dense(self, part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(part), BUCKETS), np.float32)
+        for i, k in enumerate(part):
+            ids, shares = self.rows[k]
+            out[i, ids] = shares
+        return out
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> Model:
-    """Stochastic gradient descent on average subword vectors ``x`` (documents x BUCKETS) with labels ``y``.
+def fit(x: Rows, y: np.ndarray, languages: list[str], seed: int = 5) -> Model:
+    """Stochastic gradient descent on average subword vectors ``x`` with labels ``y``.
 
     Every fifth document is kept apart: it sets the temperature, and the probability below
     which an answer is rejected.
@@ -87,8 +104,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> Mo
     apart = np.arange(len(x)) % 5 == 4
     if apart.sum() < 2 or len(languages) < 2:
         apart[:] = False
-    fit_x, fit_y = x[~apart], y[~apart]
-    embed = (rng.standard_normal((x.shape[1], DIMENSIONS)) * 0.5).astype(np.float32)
+    fit_x, fit_y = np.flatnonzero(~apart), y[~apart]
+    embed = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.5).astype(np.float32)
     layer = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     for epoch in range(EPOCHS):
@@ -96,7 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> Mo
         order = rng.permutation(len(fit_x))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            some = fit_x[part]
+            some = x.dense(fit_x[part])
             hidden = some @ embed
             off = softmax(hidden @ layer + bias)
             off[np.arange(len(part)), fit_y[part]] -= 1
@@ -108,7 +125,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> Mo
     logits = embed @ layer
     temperature, threshold = 1.0, 0.0
     if apart.any():
-        z, t = x[apart] @ logits + bias, y[apart]
+        kept = np.flatnonzero(apart)
+        z, t = np.concatenate([x.dense(kept[i : i + 1024]) @ logits for i in range(0, len(kept), 1024)]) + bias, y[apart]
         hope = np.full(z.shape, 1 / (len(t) + 2) / (len(languages) - 1))  # as if one more answer were wrong
         hope[np.arange(len(t)), t] = (len(t) + 1) / (len(t) + 2)
         loss = [(-(hope * np.log(softmax(z / k) + 1e-300)).sum(1).mean(), k) for k in np.geomspace(0.1, 10, 41)]
@@ -119,19 +137,19 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> Mo
     return Model(languages, logits, bias, temperature, threshold)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = 200) -> Model | None:
-    """The model of at most ``sample`` labelled texts of each of the ``languages`` most frequent languages; None without any.
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The model of at most ``sample`` labelled texts of each language; None without any.
 
     Rows of the held-out fold are never read for training.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not names:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = rows.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("doc_id", "lang").distinct()
-    picked = rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")  # at most sample * languages ids
+    drawn = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("doc_id", "lang").distinct()
+    picked = rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")  # at most sample ids of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +163,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = 200) -> Model
 
     got = sorted((r for r in picked.mapInArrow(run, "lang string, doc_id long, ids array<int>, counts array<long>").collect() if r.ids), key=lambda r: (hash_id(r.doc_id), r.lang, r.ids))
     got = got[: sample * len(names)]
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i, r.ids] = r.counts
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
+    parts = [(np.array(r.ids, np.int32), np.array(r.counts, np.float32)) for r in got]
+    x = Rows([(ids, counts / max(counts.sum(), np.float32(1))) for ids, counts in parts])
     where = {n: i for i, n in enumerate(names)}
     return fit(x, np.array([where[r.lang] for r in got], int), names) if got else None
 

@@ -135,3 +135,9 @@ def test_pipeline_stages(spark, sf_dir):
     assert seen[3][1].keys() == seen[3][0].keys() - bad
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in packed} == seen[3][1].keys()
+
+
+def test_every_language_is_learned(frame):
+    rows = [(i * 300 + j, " ".join([chr(0x4E00 + i) * 3] * 5), f"l{i:03}", "s", 1) for i in range(220) for j in range(4)]
+    model = langid.train(frame(rows))
+    assert len(model.languages) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % langid.FOLDS != langid.HELD_OUT}) > 200
