@@ -11,9 +11,11 @@ from spanloom.session import stored
 #: Words in a window.
 WINDOW = 13
 #: Rarest terms of a window whose lists are intersected.
-LISTS = 2
-#: Rows of benchmark tables (terms, anchors) up to which they are sent to all executors; the rows are counted first.
-BROADCAST_ROWS = 300_000
+LISTS = 3
+#: Bytes of a benchmark table (terms, anchors, windows) up to which it is sent to all executors; they are summed first.
+BROADCAST_BYTES = 32 << 20
+#: Parts into which each key is dealt where a benchmark table is too large to be sent, so that a frequent word isn't one task's.
+SALTS = 32
 #: Lower-cased texts are split at everything but a-z, 0-9 and characters beyond ASCII. A-Z is gone by then.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -23,9 +25,33 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
+def size_of(df: DataFrame) -> int:
+    """Bytes of a stored table's strings and arrays, and 16 for each row."""
+    parts = [F.coalesce(F.sum(F.octet_length(F.array_join(n, " ") if t.startswith("array") else F.col(n))), F.lit(0)) for n, t in df.dtypes if t == "string" or t == "array<string>"]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), sum(parts, F.lit(0)).alias("bytes")).first()
+    return 16 * row["rows"] + row["bytes"]
+
+
+def meet(large: DataFrame, few: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``large`` joined with the stored table ``few``: sent to all executors if its summed bytes allow, else dealt with salt.
+
+    With salt every row of ``few`` goes to SALTS tasks and a row of ``large`` to one of
+    them, so that a frequent key is spread.
+    """
+    if size_of(few) <= most:
+        return large.join(F.broadcast(few), key, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("__salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, words): a stored copy of ``docs`` (doc_id, text) whose rows have numbers of their own.
+
+    Hits are kept by row and not by doc_id, which may be null or occur on unlike rows. A
+    column ``__rid`` of ``docs`` is taken as that number.
+    """
+    rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    return stored(docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), word_list(F.col("text")).alias("words")), "numbered")
 
 
 def phrase_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -36,62 +62,68 @@ def phrase_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select(F.array_join("words", " ").alias("wid"), "item_id", "words").distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of the terms occurs in all rows of ``docs`` (text)."""
-    words = docs.select(F.explode_outer(word_list(F.col("text"))).alias("term"))
-    return words.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): how often each of the terms occurs in all ``rows`` (rid, words)."""
+    words = rows.select("rid", F.explode_outer("words").alias("term"))
+    return meet(words, terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def anchors(windows: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(term, wid, rank, off, lists): the rarest terms of each window and where in it they stand."""
-    kinds = windows.groupBy("wid").agg(F.first("words").alias("words"))
+def anchors(kinds: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
+    """(term, wid, rank, off, lists): the rarest places of each of ``kinds`` (wid, words) and the terms there."""
     terms = kinds.select("wid", F.posexplode("words").alias("off", "term"))
     ranked = terms.join(counts, "term", "left").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))).alias("order"))
     few = ranked.select("wid", F.slice("order", 1, lists).alias("order"))
     return few.select("wid", F.size("order").alias("lists"), F.posexplode("order").alias("rank", "o")).select(F.col("o.term").alias("term"), "wid", "rank", F.col("o.off").alias("off"), "lists")
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW) -> DataFrame:
-    """The index: (term, doc_id, pos, first, near) for each occurrence of a term in ``docs`` (doc_id, text).
+def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: (term, rid, pos) for each occurrence in ``rows`` (rid, words) of a term that is looked up."""
+    return meet(rows.select("rid", F.posexplode_outer("words").alias("pos", "term")), terms, "term").select("term", "rid", "pos")
 
-    near holds the words within ``around`` - 1 places of the occurrence, from place
-    ``first`` on, so that a phrase can be compared without the text.
+
+def proposals(index: DataFrame, marks: DataFrame) -> DataFrame:
+    """(rid, wid, start) where all lists of a window agree.
+
+    The lists of its rarest terms are moved by the terms' places in the window and
+    intersected; only places are compared and shuffled, never words.
     """
-    listed = docs.select("doc_id", word_list(F.col("text")).alias("ws"))
-    every = listed.select("doc_id", "ws", F.posexplode_outer("ws").alias("pos", "term"))
-    first = F.greatest(F.col("pos") - (around - 1), F.lit(0))
-    found = every.join(small(terms), "term")
-    return found.select("term", "doc_id", "pos", first.alias("first"), F.slice("ws", first + 1, F.col("pos") - first + around).alias("near"))
+    moved = meet(index, marks, "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
+    both = moved.groupBy("rid", "wid", "start", "lists").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
+    return both.filter("met = shiftleft(1, lists) - 1").select("rid", "wid", "start")
 
 
-def phrase_matches(index: DataFrame, marks: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, wid, start, length) of every occurrence of every window.
+def phrase_matches(index: DataFrame, marks: DataFrame, kinds: DataFrame, rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rid, wid, start, length) of every occurrence in ``rows`` (rid, words) of each of ``kinds`` (wid, words).
 
-    The lists of a window's rarest terms, moved by the terms' places in it, are
-    intersected. What the rarest one proposes is compared word by word inside its task,
-    so that only places, never words, are shuffled.
+    What survives the intersection is compared word by word with the row's own words.
     """
-    kinds = small(stored(windows.groupBy("wid").agg(F.first("words").alias("words")), "kinds"))
-    moved = index.join(small(marks), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0").join(kinds, "wid")
-    same = F.slice("near", F.col("start") - F.col("first") + 1, F.size("words")) == F.col("words")
-    moved = moved.filter((F.col("rank") > 0) | same).select("doc_id", "wid", "start", F.size("words").alias("length"), "rank", "lists")
-    both = moved.groupBy("doc_id", "wid", "start", "length", "lists").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
-    return both.filter("met = shiftleft(1, lists) - 1").select("doc_id", "wid", "start", "length")
+    found = stored(proposals(index, marks), "proposals").groupBy("rid").agg(F.collect_list(F.struct("wid", "start")).alias("at"))
+    near = rows.select("rid", F.col("words").alias("ws")).join(found, "rid").select("rid", "ws", F.explode("at").alias("p"))
+    near = near.select("rid", F.col("p.wid").alias("wid"), F.col("p.start").alias("start"), F.slice("ws", F.col("p.start") + 1, window).alias("here"))
+    same = meet(near, kinds, "wid").filter(F.slice("here", 1, F.size("words")) == F.col("words"))
+    return same.select("rid", "wid", "start", F.size("words").alias("length"))
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
     """(doc_id, query_id, pos): places of a query's rarest term with all its other terms within ``slop`` words.
 
     queries: (query_id, text). A query without words matches nothing; a term named twice
-    counts once. Each query's rarest term is looked up in the index, its neighbours there.
+    counts once. Each query's rarest term is looked up in the index; the words around
+    each place then decide. Rows are told apart by number, so ids may repeat or be null;
+    equal rows give equal matches each.
     """
-    listed = queries.select("query_id", F.array_distinct(word_list(F.col("text"))).alias("words")).filter(F.size("words") > 0)
-    terms = stored(listed.select(F.explode("words").alias("term")).distinct(), "terms")
-    counts = stored(term_counts(docs, terms), "counts")
-    ranked = listed.select("query_id", "words", F.explode("words").alias("term")).join(counts, "term", "left")
-    rare = stored(ranked.groupBy("query_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))["term"].alias("term")), "rare")
-    index = postings(docs, stored(rare.select("term").distinct(), "keys"), slop + 1)
-    return index.join(small(rare), "term").filter(F.forall("words", lambda w: F.array_contains(F.col("near"), w))).select("doc_id", "query_id", "pos")
+    rows = numbered(docs)
+    listed = queries.select("query_id", F.array_distinct(word_list(F.col("text"))).alias("wanted")).filter(F.size("wanted") > 0)
+    terms = stored(listed.select(F.explode("wanted").alias("term")).distinct(), "terms")
+    counts = stored(term_counts(rows, terms), "counts")
+    ranked = listed.select("query_id", "wanted", F.explode("wanted").alias("term")).join(counts, "term", "left")
+    rare = stored(ranked.groupBy("query_id", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))["term"].alias("term")), "rare")
+    index = stored(postings(rows, stored(rare.select("term").distinct(), "keys")), "postings")
+    places = meet(index, rare, "term").groupBy("rid").agg(F.collect_list(F.struct("query_id", "pos", "wanted")).alias("at"))
+    near = rows.join(places, "rid").select("doc_id", "words", F.explode("at").alias("p")).select("doc_id", "words", "p.*")
+    first = F.greatest(F.col("pos") - slop, F.lit(0))
+    around = near.withColumn("near", F.slice("words", first + 1, F.col("pos") - first + slop + 1))
+    return around.filter(F.forall("wanted", lambda w: F.array_contains(F.col("near"), w))).select("doc_id", "query_id", "pos")
 
 
 def _covered(spans: Column) -> Column:
@@ -105,37 +137,58 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, none, add, lambda acc: acc["n"])
 
 
+def hit_rows(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rid, n_hit, n_items, items_sha256) of the ``rows`` (rid, words) in which any window of ``items`` occurs."""
+    windows = phrase_windows(items, window)
+    numbers = stored(windows.groupBy(F.col("wid").alias("phrase")).agg(F.first("words").alias("words"), F.collect_set(F.col("item_id").cast("string")).alias("owners")).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    kinds, owners = numbers.select("wid", "words"), numbers.select("wid", "owners")
+    terms = stored(kinds.select(F.explode("words").alias("term")).distinct(), "terms")
+    counts = stored(term_counts(rows, terms), "counts")
+    marks = stored(anchors(kinds, counts), "anchors")
+    index = stored(postings(rows, stored(marks.select("term").distinct(), "keys")), "postings")
+    matches = stored(phrase_matches(index, marks, kinds, rows, window), "matches")
+    hits = matches.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    found = meet(matches.select("rid", "wid").distinct(), owners, "wid").select("rid", F.explode("owners").alias("item"))
+    found = found.groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return hits.join(found, "rid", "left").select(
+        "rid", _covered(F.col("spans")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), 256).alias("items_sha256")
+    )
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs`` (doc_id, text).
 
     A word is hit if it lies in an occurrence of any window of ``items`` (item_id, text);
     a document is contaminated if it has a hit and at least 5 % of its words are hit.
-    Other columns are ignored. Null and empty texts have no words; items without words
-    have no window; equal windows of several items count for each. Rows with one doc_id
-    are taken as one document: each gets the hits of all (repeated rows change nothing).
-    A null doc_id is an id like others. Empty tables give no rows or no hits.
+    Each row is judged by its own text alone, whatever its doc_id: repeated rows, rows of
+    unlike texts under one id and null ids included. Other columns are ignored. Null and
+    empty texts have no words; items without words have no window; a window that several
+    items share counts for each; an item without an id has its hits and isn't listed.
+    Empty tables give no rows or no hits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = stored(phrase_windows(items, window), "windows")
-    terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
-    counts = stored(term_counts(docs, terms), "counts")
-    marks = stored(anchors(windows, counts), "anchors")
-    index = stored(postings(docs, stored(marks.select("term").distinct(), "keys"), window), "postings")
-    matches = stored(phrase_matches(index, marks, windows), "matches")
-    hits = matches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
-    owners = small(windows.select("wid", F.col("item_id").cast("string").alias("item")).distinct())
-    found = matches.select("doc_id", "wid").distinct().join(owners, "wid").groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    a, b, d = hits.alias("a"), found.alias("b"), docs.select("doc_id", F.size(word_list(F.col("text"))).cast("long").alias("n_words")).alias("d")
-    per_doc = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select(F.col("a.doc_id").alias("doc_id"), _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).alias("p")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    out = d.join(per_doc, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
-    return out.select(
-        F.col("d.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+    return _judged(numbered(docs), items, window).drop("rid")
+
+
+def _judged(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    hits = hit_rows(rows, items, window)
+    n_hit, n_words = F.coalesce("n_hit", F.lit(0).cast("long")), F.size("words").cast("long")
+    return rows.select("rid", "doc_id", n_words.alias("n_words")).join(hits, "rid", "left").select(
+        "rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't contaminated."""
-    bad = stored(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "bad")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs``, all columns, that aren't contaminated.
+
+    Rows are told apart by number: a clean row stays whatever other rows have its doc_id.
+    Rows with null or empty texts stay, repeated rows stay or go alike, and an empty
+    table gives an empty table; without items every row stays. Columns of any other name
+    are carried along.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    copy = stored(docs.toDF(*names).withColumn("__rid", F.monotonically_increasing_id()), "docs")
+    at = {n: names[docs.columns.index(n)] for n in ("doc_id", "text")}
+    rows = numbered(copy.select("__rid", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+    bad = stored(_judged(rows, items).filter("contaminated").select(F.col("rid").alias("__rid")), "bad")
+    return copy.join(bad, "__rid", "left_anti").drop("__rid").toDF(*docs.columns)

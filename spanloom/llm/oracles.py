@@ -9,16 +9,16 @@ _LOWER = f"translate({{0}}, '{UPPER}', '{UPPER.lower()}')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '')"
 
 OP4 = f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 i AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM benchmark),
 w AS (SELECT DISTINCT item_id, array_to_string(ws[k:k + 12], ' ') AS wid, least(len(ws), 13) AS n FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
-p AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS wid FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
-m AS (SELECT p.doc_id, p.n, p.k, w.item_id FROM p JOIN w ON p.wid = w.wid AND p.n = w.n),
-h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+p AS (SELECT rid, n, k, array_to_string(ws[k:k + n - 1], ' ') AS wid FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
+m AS (SELECT p.rid, p.n, p.k, w.item_id FROM p JOIN w ON p.wid = w.wid AND p.n = w.n),
+h AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS place FROM m) GROUP BY rid),
+t AS (SELECT rid, count(item) AS n_items, sha256(coalesce(string_agg(item, ',' ORDER BY item), '')) AS items_sha256 FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
 
 
 def _fits(rule: tuple[str, str, str]) -> str:

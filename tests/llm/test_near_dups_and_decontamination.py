@@ -154,13 +154,39 @@ def test_contamination_matches_brute_force(spark, frame, sf_dir):
         cut = w[rng.randint(0, 3) : len(w) - rng.randint(0, 3)]
         rows.append((20_000 + i, " ".join([*some_text(rng, rng.randint(0, 300)).split(), *cut, "tail", *cut])))
     rows += [(30_000, "the " * 500), (30_001, "A-b; a b. SOLO"), (30_002, "one two " * 200)]
-    rows += [(40_000 + i, r[1]) for i, r in enumerate(AWKWARD)] + [(None, "solo")]
+    rows += [(r[0], r[1]) for r in AWKWARD] + [(None, "solo"), (None, "clean and long enough to stay"), (20_000, "clean here"), (900, "a b"), (900, "other")]
     df = frame([(a, b, "en", "s", 1) for a, b in rows])
-    got = decontam.contamination(df, spark.createDataFrame(items, ITEMS)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(slow_contamination(rows, items), key=str)
-    bad = {r.doc_id for r in got if r.contaminated}
-    kept = [r.doc_id for r in decontam.keep_clean(df, spark.createDataFrame(items, ITEMS)).collect()]
-    assert sorted(kept, key=str) == sorted((a for a, _ in rows if a not in bad), key=str)
+    table = spark.createDataFrame(items, ITEMS)
+    want = list(slow_contamination(rows, items))
+    assert sorted(map(tuple, decontam.contamination(df, table).collect()), key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text) for r in decontam.keep_clean(df, table).collect()]
+    assert sorted(kept, key=str) == sorted((row for row, w in zip(rows, want) if not w[-1]), key=str)
+
+
+def test_unlike_rows_of_one_id_are_judged_apart(spark, frame):
+    item = " ".join(f"q{i}" for i in range(13))
+    rows = [(1, item, "en", "s", 1), (1, "clean text here", "en", "s", 1), (None, item, "en", "s", 1), (None, "clean too", "en", "s", 1)]
+    items = spark.createDataFrame([(7, item)], ITEMS)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(frame(rows), items).collect())
+    assert got == [(0, 2, 0, False), (0, 13, 13, True), (1, 3, 0, False), (1, 13, 13, True)]
+    assert sorted(r.text for r in decontam.keep_clean(frame(rows), items).collect()) == ["clean text here", "clean too"]
+
+
+def test_lists_are_intersected_by_place_before_words_are_compared(spark, frame, monkeypatch):
+    item = " ".join(f"q{i}" for i in range(13))
+    apart = " ".join(f"q{i} gap" for i in range(13))  # every term, no place in common
+    near = item.replace("q5 ", "other ")  # rare terms agree, a word differs
+    rows = decontam.numbered(frame([(1, item, "en", "s", 1), (2, apart, "en", "s", 1), (3, near, "en", "s", 1)]))
+    kinds = spark.createDataFrame([(0, item.split())], "wid long, words array<string>")
+    counts = spark.createDataFrame([(f"q{i}", 1 if i in (2, 7, 11) else 9) for i in range(13)], "term string, n long")
+    marks = decontam.anchors(kinds, counts)
+    index = decontam.postings(rows, marks.select("term").distinct())
+    ids = {r.rid: r.doc_id for r in rows.collect()}
+    assert sorted((ids[r.rid], r.start) for r in decontam.proposals(index, marks).collect()) == [(1, 0), (3, 0)]
+    assert [(ids[r.rid], r.start, r.length) for r in decontam.phrase_matches(index, marks, kinds, rows).collect()] == [(1, 0, 13)]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)  # dealt with salt instead
+    monkeypatch.setattr(decontam.meet, "__defaults__", ("inner", 0))
+    assert [(ids[r.rid], r.start, r.length) for r in decontam.phrase_matches(index, marks, kinds, rows).collect()] == [(1, 0, 13)]
 
 
 def test_contamination_repeated_rows_and_empty_tables(spark, frame):
