@@ -65,7 +65,7 @@ _bad = " OR ".join(f"coalesce(x{n}, 0) / greatest(word_chars, 1) > {limit}" for
 OP10 = rf"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws FROM documents),
 {_grams}
-l AS (SELECT rid, l, octet_length(encode(l)) AS size, row_number() OVER (PARTITION BY rid, l) AS nth FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+l AS (SELECT rid, l, length(l) AS size, row_number() OVER (PARTITION BY rid, l) AS nth FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 ll AS (SELECT rid, count(*) FILTER (nth > 1) AS again, sum(size) FILTER (nth > 1) / greatest(sum(size), 1) AS cover FROM l GROUP BY rid),
 b AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(again, 0) AS n_dup_lines, coalesce(n5, 0) AS n_repeat_words, coalesce(cover, 0) AS cover, {", ".join(f"x{n}" for n in quality.NGRAM_LIMITS)} FROM w LEFT JOIN ll USING (rid) LEFT JOIN s5 USING (rid) {" ".join(f"LEFT JOIN s{n} USING (rid)" for n in quality.NGRAM_LIMITS)}),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.text import words
 
 SYMBOLS = b"#*$%&|<>"
+#: White space that parts words; any other character makes a line one with a word.
+SPACES = " \t\n\x0b\x0c\r"
 BASE_N = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -75,12 +77,12 @@ def _measure(texts: list[str | None], limits: dict[int, float], line_limit: floa
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
         symbols.append(len(raw) - len(raw.translate(None, SYMBOLS)))
-        lines = [x for x in raw.split(b"\n") if x.strip()]
-        again = 0
+        lines = [x for x in (t or "").split("\n") if x.strip(SPACES)]
+        again, chars = 0, sum(map(len, lines))
         if len(lines) != len(kinds := set(lines)):
-            again = sum(map(len, lines)) - sum(map(len, kinds))
+            again = chars - sum(map(len, kinds))
         dup_lines.append(len(lines) - len(kinds))
-        line_cover.append(again / max(1, sum(map(len, lines))))
+        line_cover.append(again / max(1, chars))
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     bad = (np.array(line_cover) > line_limit) | (cover > np.array(list(limits.values()))).any(axis=1)
     return {
@@ -130,7 +132,12 @@ def quality_rules(docs: DataFrame, limits: dict[int, float] | None = None, line_
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the rules keep."""
+    """The rows of ``docs``, all columns, whose text the rules keep.
+
+    A null text counts as empty and goes, as do blank texts. Repeated rows stay or go
+    alike, rows with a null doc_id are judged like others, and columns of any name are
+    carried along. An empty table gives an empty table.
+    """
     schema = docs.schema
     names = docs.columns
 

@@ -46,6 +46,14 @@ def test_quality_repetition_and_clean_texts(frame):
     assert quality.keep_good(frame([(1, clean, "en", "s", 1), (2, repeated, "en", "s", 1)])).select("doc_id", "fp").collect()[0][:] == (1, "own fp")
 
 
+def test_line_cover_counts_characters_not_bytes():
+    wide, plain = "é" * 30, "a" * 80
+    text = f"{wide}\n{plain}\n{wide}\n \x85\n \x85\n\t"  # 32 of 144 characters; with bytes 63 of 206 and over the limit of 0.3
+    got = quality._measure([text], {}, 0.3)
+    assert abs(got["line_cover"][0] - 32 / 144) < 1e-12 and got["n_dup_lines"] == [2]
+    assert slow_quality(text)[3] == 2
+
+
 def test_quality_empty_table(frame):
     df = frame([(1, "a", "en", "s", 1)]).filter("doc_id < 0")
     assert quality.quality_rules(df).count() == 0 and quality.keep_good(df).count() == 0
