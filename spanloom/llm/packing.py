@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from array import array
 from collections import deque
@@ -111,13 +112,18 @@ def combinations(units: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that makes |a x - b| least, by the active-set method."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
+    """x >= 0 that makes |a x - b| least, by the active-set method.
+
+    Each round lowers the residual, so the method ends; ``rounds`` (3 for each column
+    where 0) guards against rounding errors only, and a warning tells when it is reached.
+    What it then returns is feasible, if not the least.
+    """
     gram, target = a.T @ a, a.T @ b
     x = np.zeros(a.shape[1])
     active: list[int] = []
     tolerance = 1e-9 * max(1.0, np.abs(target).max())
-    for _ in range(rounds):
+    for _ in range(rounds or 3 * a.shape[1]):
         slope = target - gram @ x
         slope[active] = -np.inf
         best = int(np.argmax(slope))
@@ -139,6 +145,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             active = keep
         else:
             break
+    else:
+        warnings.warn("non-negative least squares stopped before it was solved", RuntimeWarning, stacklevel=2)
     return x
 
 
@@ -164,14 +172,13 @@ def pack(lengths: Iterable[int], window: int = WINDOW, unit: int = UNIT) -> Iter
             by_size[-(-(n % window) // unit)].append((doc, full, n % window))
     histogram = np.array([len(x) for x in by_size], float)
     plan: list[list[Piece]] = []
-    if histogram.sum() >= 2 * units:
-        table = combinations(units)
-        for k in np.flatnonzero(times := np.floor(nnls(table, histogram) + 1e-6).astype(int)):
-            sizes = [s for s in range(units + 1) for _ in range(int(table[s, k]))]
-            for _ in range(times[k]):
-                if any(len(by_size[s]) < sizes.count(s) for s in set(sizes)):
-                    break
-                plan.append([by_size[s].popleft() for s in sizes])
+    table = combinations(units)
+    for k in np.flatnonzero(times := np.floor(nnls(table, histogram) + 1e-6).astype(int)):
+        sizes = [s for s in range(units + 1) for _ in range(int(table[s, k]))]
+        for _ in range(times[k]):
+            if any(len(by_size[s]) < sizes.count(s) for s in set(sizes)):
+                break
+            plan.append([by_size[s].popleft() for s in sizes])
     rest = deque(sorted((p for x in by_size for p in x), key=lambda p: -p[2]))
     done = 0
     while done < len(plan):

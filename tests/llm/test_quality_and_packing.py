@@ -79,6 +79,23 @@ def test_combinations_fill_the_window():
     assert (np.arange(17) @ table == 16).all() and table.sum(0).max() == 3
 
 
+def test_least_squares_decides_in_small_blocks_too(monkeypatch):
+    solved = []
+    real = packing.nnls
+    monkeypatch.setattr(packing, "nnls", lambda a, b: solved.append(real(a, b)) or solved[-1])
+    got = list(packing.pack([1024, 3072, 2048, 2048, 4096, 64, 4032]))
+    assert len(solved) == 1 and np.floor(solved[0] + 1e-6).sum() == 3  # 16 + 48, 32 + 32 and 1 + 63 units
+    assert sorted(len(s) for s in got) == [1, 2, 2, 2] and all(sum(p[2] for p in s) == 4096 for s in got)
+
+
+def test_solver_says_when_it_stops_unsolved():
+    import pytest
+
+    table = packing.combinations(64)
+    with pytest.warns(RuntimeWarning):
+        packing.nnls(table, np.arange(65.0), 2)
+
+
 def test_pack_covers_every_token_once_and_pads_nothing():
     rng = np.random.default_rng(3)
     for n, top in ((0, 10), (1, 9000), (7, 300), (3000, 2500), (500, 9000)):
