@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and makes later passes see one
-    frozen copy. The folder is deleted when the application ends.
+    frozen copy. The folder is deleted by ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
@@ -38,7 +38,19 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.spanloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; any other table is left alone."""
+    for df in tables:
+        path = getattr(df, "spanloom_path", None)
+        if path:
+            spark = df.sparkSession
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 _shipped: set[str] = set()
