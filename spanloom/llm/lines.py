@@ -2,148 +2,329 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanloom.llm.text import words
-from spanloom.session import stored
+from spanloom.llm.text import WORD
+from spanloom.session import discard, stored
 
-#: A border follows a line where the rolling hash of it and the line before is 0 modulo this.
-DIVISOR = 3
-#: A repeated passage of this many words is removed, wherever borders by hash fall.
+#: Lines end at \n; a longer one is wrapped behind each sentence in it, so that a passage inside a line has lines too.
+LINE_END = re.compile(r"\n|[.!?](?=[ ])")
+#: Lines under the rolling hash.
+ROLL = 2
+#: Of as many neighbouring rolling hashes, the least makes a border, so that four lines always hold one.
+NEIGHBOURS = 2
+#: A chunk ends at the first border that leaves it this many lines and characters. A line of LONE_CHARS has borders
+#: of its own and is a chunk by itself, as no border may fall inside a short passage otherwise.
+CHUNK_LINES, CHUNK_CHARS, LONE_CHARS = 2, 20, 200
+#: A repeated run is cut if it has this many words once it is extended over its neighbours.
 PASSAGE_WORDS = 50
-#: Words that a chunk between hash borders must hold.
-CHUNK_WORDS = 20
-#: Rows of a table up to which it is sent to all executors; they are counted first.
-BROADCAST_ROWS = 100_000
-_MASK = (1 << 64) - 1
+#: Characters on either side of a run that are sent along with it, over which it may be extended.
+CONTEXT = 400
+#: Copies of a chunk that one task compares; more are dealt to several.
+TASK_COPIES = 2000
+#: Copies of a chunk up to which a join on chunks may gather them.
+HOT = 100_000
+#: Rows (32 bytes each) of a table up to which it is sent to all executors; they are counted first.
+BROADCAST_ROWS = 1_000_000
+#: Characters handled at once.
+BLOCK_CHARS = 2_000_000
 
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_LAST = (1 << 63) - 1
+
+
+def lines_of(text: str) -> tuple[list[int], list[int]]:
+    """Where a text's lines start and end, without the white space between them; blank lines are left out."""
+    starts, ends, at = [], [], 0
+    for m in LINE_END.finditer(text):
+        end = m.end()
+        new = text[end - 1] == "\n"
+        stop = end - new
+        if stop > at and not text[at:stop].isspace():
+            starts.append(at)
+            ends.append(stop)
+        at = end + (not new)
+    if at < len(text) and not text[at:].isspace():
+        starts.append(at)
+        ends.append(len(text))
+    return starts, ends
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows, fewer at a time, since their lines take several times the memory of their texts."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-def spans(lines: list[str], divisor: int = DIVISOR, passage: int = PASSAGE_WORDS, least: int = CHUNK_WORDS) -> list[tuple[int, int]]:
-    """The chunks (first line, line after the last) of a text's lines.
 
-    Borders depend on the lines next to them alone, so they shift with a passage:
-    (1) between lines where the rolling hash of two line hashes says so; such a chunk has
-    two lines and ``least`` words at least;
-    (2) from each line with a word on, as few lines as make ``passage`` words; and up to
-    each such line, likewise. Together these cover a repeated passage to its very edges,
-    which borders by hash alone would leave.
+def border_lines(hashes: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which lines a border stands before: those that begin a text, and those chosen by content.
+
+    A rolling hash is taken over each line and the one before it. Where it is the least of
+    NEIGHBOURS in a row, the line is chosen; and so are a line of LONE_CHARS and the one
+    after it. That depends on the lines next to it alone, so borders inside a passage move
+    with it.
     """
-    counts = [len(words(x)) for x in lines]
-    total = np.concatenate([[0], np.cumsum(counts)])
-    found: set[tuple[int, int]] = set()
-    start = before = 0
-    for i, x in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
-        if ((before * 0x9E3779B97F4A7C15 + h) & _MASK) % divisor == 0 or i + 1 == len(lines):
-            if i + 1 - start >= 2 and total[i + 1] - total[start] >= least:
-                found.add((start, i + 1))
-            start = i + 1
-        before = h
-    some = np.flatnonzero(counts)
-    if total[-1] >= passage:
-        ends = np.searchsorted(total, total[some] + passage, "left")
-        found.update((int(a), int(b)) for a, b in zip(some, ends) if b <= len(lines))
-        starts = np.searchsorted(total, total[some + 1] - passage, "right") - 1
-        found.update((int(a), int(b) + 1) for a, b in zip(starts, some) if a >= 0)
-    return sorted(found)
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, start, size, h) of each chunk of each row: lines, code points, hash of its bytes."""
+    n = len(hashes)
+    chosen = np.zeros(n, bool)
+    if not n:
+        return chosen
+    rolled, whole = hashes.copy(), np.ones(n, bool)
+    for j in range(1, ROLL):
+        rolled[j:] += hashes[:-j] * _U(pow(_BASE, j, 1 << 64))
+        whole[:j] = False
+        whole[j:] &= doc[j:] == doc[:-j]
+    rolled = _mix(rolled)
+    count = n - NEIGHBOURS + 1
+    if count > 0:
+        least, place = rolled[:count].copy(), np.zeros(count, np.int64)
+        for j in range(1, NEIGHBOURS):
+            less = rolled[j : count + j] < least
+            least[less], place[less] = rolled[j : count + j][less], j
+        good = np.flatnonzero(whole[:count] & (doc[:count] == doc[NEIGHBOURS - 1 :]))
+        chosen[good + place[good]] = True
+    lone = chars >= LONE_CHARS
+    chosen |= lone
+    chosen[1:] |= lone[:-1]
+    chosen[0] = True
+    chosen[1:] |= doc[1:] != doc[:-1]
+    return chosen
+
+
+def chunk_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, first character, characters, hash) of each chunk of these texts, in order.
+
+    A chunk goes from a border to the first border that leaves it CHUNK_LINES lines and
+    CHUNK_CHARS characters, or LONE_CHARS; the end of a text is one.
+    """
+    parts = [lines_of(t) for t in texts]
+    sizes = np.fromiter((len(s) for s, _ in parts), np.int64, len(parts))
+    starts = np.fromiter((x for s, _ in parts for x in s), np.int64, sizes.sum())
+    ends = np.fromiter((x for _, e in parts for x in e), np.int64, len(starts))
+    doc = np.repeat(np.arange(len(parts)), sizes)
+    lines = (t[a:b] for t, (s, e) in zip(texts, parts) for a, b in zip(s, e))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), _U, len(starts))
+    n = len(starts)
+    borders = np.append(np.flatnonzero(border_lines(hashes, ends - starts, doc)), n)
+    first = borders[:-1]
+    after = np.cumsum(sizes)[doc[first]]  # line after the text's last
+    last = np.full(len(first), -1)
+    open_, step = np.arange(len(first)), np.arange(1, len(first) + 1)
+    while len(open_):
+        stop = borders[step[open_]]
+        inside = stop <= after[open_]
+        chars = ends[stop - 1] - starts[first[open_]]
+        fits = inside & ((stop - first[open_] >= CHUNK_LINES) & (chars >= CHUNK_CHARS) | (chars >= LONE_CHARS))
+        last[open_[fits]] = stop[fits]
+        step[open_] += 1
+        open_ = open_[inside & ~fits & (step[open_] < len(borders))]
+    kept = last >= 0
+    a, b = first[kept], last[kept]
+    powers = np.cumprod(np.append(_U(1), np.full(n, _U(_BASE))), dtype=_U)
+    back = np.cumprod(np.append(_U(1), np.full(n, _U(pow(_BASE, -1, 1 << 64)))), dtype=_U)
+    sums = np.append(_U(0), np.cumsum(hashes * powers[:-1], dtype=_U))
+    h = _mix((sums[b] - sums[a]) * back[a] + (b - a).astype(_U))
+    return doc[a], starts[a], ends[b - 1] - starts[a], h.view(np.int64)
+
+
+def _blocks(texts: list[str | None]) -> Iterator[slice]:
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > BLOCK_CHARS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t or "") + 1
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """(rid, doc, at, size, h) of each chunk of each row (rid, doc, text): characters, and a hash of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "first", "last", "start", "size", "h"]
-        for batch in small_batches(batches):
-            rows: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                lines = text.split("\n")
-                if not (found := spans(lines)):
-                    continue
-                chars = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
-                raw = text.encode("utf-8", "surrogatepass")
-                ascii_ = len(raw) == len(text)
-                places = chars if ascii_ else np.concatenate([[0], np.cumsum([len(x.encode("utf-8", "surrogatepass")) + 1 for x in lines])]).tolist()
-                for a, b in found:
-                    h = xxhash.xxh3_64_intdigest(raw[places[a] : places[b] - 1])
-                    for column, v in zip(rows, (doc_id, a, b, chars[a], chars[b] - 1 - chars[a], h - (1 << 64) if h >> 63 else h)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first int, last int, start long, size long, h long")
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for part in _blocks(texts):
+                row, at, size, h = chunk_table([t or "" for t in texts[part]])
+                where = pa.array(row + part.start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at), pa.array(size), pa.array(h)], names=["rid", "doc", "at", "size", "h"])
+
+    return rows.select("rid", "doc", "text").mapInArrow(run, "rid long, doc long, at long, size long, h long")
+
+
+def _dealt(copies: DataFrame, few: DataFrame, key: list[str]) -> DataFrame:
+    """``copies`` (with ``n``, how many of them share a key) joined with ``few`` (one row for each key, with ``n``).
+
+    A key with many copies is dealt to n / TASK_COPIES tasks, each of which gets few's row.
+    """
+    parts = (F.col("n") / TASK_COPIES).cast("long")
+    left = copies.withColumn("__part", F.pmod(F.xxhash64("rid", "at"), parts + 1)).drop("n")
+    right = few.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts))).drop("n")
+    return left.join(right, [*key, "__part"]).drop("__part")
+
+
+def copied_chunks(found: DataFrame) -> DataFrame:
+    """(rid, at, size, from_rid, from_at) of each chunk in ``found`` (cid and chunks' columns) that isn't the first of its kind.
+
+    The first one is that of the smallest (doc, cid). Counts are added up inside tasks
+    before anything is shuffled, and a frequent chunk is dealt to several tasks.
+    """
+    repeated = stored(found.groupBy("h").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        marked = found.join(F.broadcast(repeated), "h")
+    else:  # chunks with over HOT copies, of which there can't be more than BROADCAST_ROWS, never share a task
+        hot = F.col("n") > max(HOT, found.count() // BROADCAST_ROWS)
+        often = F.broadcast(stored(repeated.filter(hot), "often"))
+        marked = found.join(often, "h").unionByName(found.join(often.select("h"), "h", "left_anti").join(repeated.filter(~hot), "h"))
+    marked = stored(marked, "copies")
+    first = marked.filter("doc = low").groupBy("h").agg(F.min("cid").alias("keep"), F.min_by("rid", "cid").alias("from_rid"), F.min_by("at", "cid").alias("from_at"), F.max("n").alias("n"))
+    out = _dealt(marked.select("h", "n", "cid", "rid", "at", "size"), first, ["h"])
+    return out.filter("cid != keep").select("rid", "at", "size", "from_rid", "from_at")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of a row that follow each other in the same way in the row they are copied from, as one."""
+    names = ["rid", "at", "size", "from_rid", "from_at"]
+    for batch in batches:
+        out: list[tuple] = []
+        for rid, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            shift = lambda c: (c["from_rid"], c["from_at"] - c["at"])
+            found.sort(key=lambda c: (*shift(c), c["at"]))
+            mine: list[list[int]] = []
+            for i, c in enumerate(found):
+                if i and shift(c) == shift(found[i - 1]) and c["at"] <= mine[-1][1] + 2:  # parted by a line end at most
+                    mine[-1][1] = max(mine[-1][1], c["at"] + c["size"])
+                else:
+                    mine.append([c["at"], c["at"] + c["size"], c["from_rid"], c["from_at"]])
+            out += [(rid, at, end - at, from_rid, from_at) for at, end, from_rid, from_at in mine]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each run that is asked of a row, with what stands before and after it, cut at whole words."""
+    names = ["from_rid", "from_at", "size", "n", "before", "piece", "after"]
+    types = [pa.int64()] * 4 + [pa.string()] * 3
+    for batch in batches:
+        for rid, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out = []
+            for a in asked:
+                at, end = a["from_at"], a["from_at"] + a["size"]
+                before, after = text[max(0, at - CONTEXT) : at], text[end : end + CONTEXT]
+                if at > CONTEXT and not text[at - CONTEXT - 1].isspace():
+                    before = re.sub(r"^\S+", "", before)
+                if end + CONTEXT < len(text) and not text[end + CONTEXT].isspace():
+                    after = re.sub(r"\S+$", "", after)
+                out.append((rid, at, a["size"], a["n"], before, text[at:end], after))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+
+def extended(text: str, at: int, before: str, piece: str, after: str) -> tuple[int, int] | None:
+    """The interval of ``text`` around ``at`` that equals the piece, and whole words of what stands beside it; None if it differs."""
+    end = at + len(piece)
+    if text[at:end] != piece:
+        return None
+    low = max(0, at - len(before) - 64)
+    mine, theirs = list(WORD.finditer(text, low, at)), WORD.findall(before)
+    if low and mine and mine[0].start() == low:
+        del mine[0]  # it may have begun earlier
+    start = at
+    for m, w in zip(reversed(mine), reversed(theirs)):
+        if m[0] != w:
+            break
+        start = m.start()
+    for m, w in zip(WORD.finditer(text, end), WORD.findall(after)):
+        if m[0] != w:
+            break
+        end = m.end()
+    return start, end
+
+
+def without(text: str, found: list[tuple[int, int]], least: int = PASSAGE_WORDS) -> tuple[str, int, int]:
+    """``text`` without the intervals that hold ``least`` words, how many places were cut, and how many words."""
+    merged: list[list[int]] = []
+    for a, b in sorted(x for x in set(found) if sum(1 for _ in WORD.finditer(text, *x)) >= least):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, at, n = [], 0, 0
+    for a, b in merged:
+        n += sum(1 for _ in WORD.finditer(text, a, b))
+        out.append(text[at:a])
+        at = b
+        while at < len(text) and text[at] == " ":
+            at += 1
+        if at < len(text) and text[at] == "\n" and (a == 0 or text[a - 1] == "\n"):  # no line is left
+            at += 1
+    return "".join(out) + text[at:], len(merged), n
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with repeated chunks cut out of the text, and what was cut.
+    """``docs`` (doc_id, text and any other columns) with repeated passages cut out of the text, and what was cut.
 
-    New columns: n_lines, n_cut_lines, n_cut_chars. Of each chunk that occurs twice or more
-    in the table, the copy in the smallest doc_id, first in its text, stays; the lines of
-    the others go, if their text equals that copy's. A null text stays null; rows with a
-    null doc_id are left alone. Rows with one doc_id are taken as one document: repeated
-    rows stay alike. Lines are parted by \\n. An empty table gives an empty table.
+    New columns: n_lines, n_cuts, n_cut_words, n_cut_chars. Chunks of lines that occur
+    twice or more in the table are found by hash. The one in the smallest doc_id (nulls
+    last), first in the stored order of its rows, stays. Each other one is compared with it
+    character by character, then word by word to either side as far as both agree, and cut
+    if that makes PASSAGE_WORDS words. Whatever is cut is still held by an earlier place.
+    A repeated row is a copy like others, whatever its doc_id. A null text stays null. An
+    empty table gives an empty table. Columns of any name are carried along.
     """
-    found = stored(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")), "chunks")
-    key = ["h", "size"]
-    place = F.struct("doc_id", "start")
-    repeated = found.groupBy(*key).agg(F.min(place).alias("keep"), F.max(place).alias("far")).filter("keep != far").select(*key, "keep")
-    copies = found.join(repeated, key)
-    per_doc = copies.groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_set(F.struct("first", "last", "start", *key, (place == F.col("keep")).alias("kept"))).alias("__cuts")
-    )
     names = [f"c{i}" for i in range(len(docs.columns))]
-    docs_ = docs.toDF(*names)
     doc, text = (F.col(names[docs.columns.index(n)]) for n in ("doc_id", "text"))
-    marked = stored(docs_.join(per_doc, doc.cast("long") == F.col("__doc"), "left").drop("__doc"), "marked")
-    pieces = marked.filter("__cuts IS NOT NULL").select(doc.cast("long").alias("doc_id"), text.alias("text"), F.explode("__cuts").alias("x"))
-    pieces = pieces.select("doc_id", F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.col("x.h").alias("h"), F.col("x.size").alias("size"), F.col("x.kept").alias("kept"), F.substring("text", (F.col("x.start") + 1).cast("int"), F.col("x.size").cast("int")).alias("piece"))
-    kept = pieces.filter("kept").select(*key, F.col("piece").alias("other")).groupBy(*key).agg(F.min("other").alias("other"))
-    differ = pieces.filter("NOT kept").join(kept, key).filter("piece != other").select(F.col("doc_id").alias("__doc"), "first", "last")
-    spare = stored(differ.groupBy("__doc").agg(F.collect_set(F.struct("first", "last")).alias("__spare")), "differ")
-    few = F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare
-    ready = marked.join(few, doc.cast("long") == F.col("__doc"), "left").drop("__doc")
+    copy = stored(docs.toDF(*names).withColumn("__rid", F.monotonically_increasing_id()), "docs")
+    rows = copy.select(F.col("__rid").alias("rid"), F.coalesce(doc.cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"))
+    found = stored(chunks(rows.filter("text IS NOT NULL")).withColumn("cid", F.monotonically_increasing_id()), "chunks")
+    per_row = copied_chunks(found).groupBy("rid").agg(F.collect_list(F.struct("at", "size", "from_rid", "from_at")).alias("found"))
+    runs = stored(per_row.mapInArrow(_runs, "rid long, at long, size long, from_rid long, from_at long"), "runs")
+    discard(found)
+    asked = stored(runs.groupBy("from_rid", "from_at", "size").agg(F.count(F.lit(1)).alias("n")), "asked")
+    source = asked.groupBy(F.col("from_rid").alias("rid")).agg(F.collect_list(F.struct("from_at", "size", "n")).alias("asked"))
+    piece = rows.join(source, "rid").select("rid", "text", "asked").mapInArrow(_pieces, "from_rid long, from_at long, size long, n long, before string, piece string, after string")
+    key = ["from_rid", "from_at", "size"]
+    compared = _dealt(runs.join(asked, key), piece, key)
+    cuts = compared.groupBy(F.col("rid").alias("__row")).agg(F.collect_list(F.struct("at", "before", "piece", "after")).alias("__cuts"))
+    ready = copy.join(cuts, F.col("__rid") == F.col("__row"), "left").drop("__rid", "__row")
     at = docs.columns.index("text")
     out_schema = StructType(list(docs.schema.fields))  # a copy: add() changes its object
-    for name in ("n_lines", "n_cut_lines", "n_cut_chars"):
+    for name in ("n_lines", "n_cuts", "n_cut_words", "n_cut_chars"):
         out_schema.add(name, "long")
     width = len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            texts, n_lines, n_cut, n_chars = [], [], [], []
-            for text, cuts, spare in zip(*(batch.column(i).to_pylist() for i in (at, width, width + 1))):
-                lines = text.split("\n") if text is not None else []
-                gone = np.zeros(len(lines) + 1, np.int32)
-                not_equal = {(s["first"], s["last"]) for s in spare or ()}
-                for c in cuts or ():
-                    if not c["kept"] and (c["first"], c["last"]) not in not_equal and c["last"] <= len(lines):
-                        gone[c["first"]] += 1
-                        gone[c["last"]] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                new = text
-                if gone.any():
-                    new = "\n".join(x for x, g in zip(lines, gone.tolist()) if not g)
+        for batch in batches:
+            texts, counts = [], []
+            for text, cuts in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
+                new, places, n = text, 0, 0
+                if cuts:
+                    spans = (extended(text, c["at"], c["before"], c["piece"], c["after"]) for c in cuts)
+                    new, places, n = without(text, [s for s in spans if s])
                 texts.append(new)
-                n_lines.append(len(lines))
-                n_cut.append(int(gone.sum()))
-                n_chars.append(len(text or "") - len(new or ""))
+                counts.append((text.count("\n") + 1 if text is not None else 0, places, n, len(text or "") - len(new or "")))
             columns = [batch.column(i) for i in range(width)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n_lines, n_cut, n_chars))], names=[f.name for f in out_schema])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in zip(*counts))], names=[f.name for f in out_schema])
 
     return ready.mapInArrow(cut, out_schema)
+
+
+def keep_rest(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated passages, in its own columns; a row of which nothing is left goes.
+
+    n_chars, where the table has it, follows the text. Rows with null or empty texts stay,
+    repeated rows are copies of each other, and an empty table gives an empty table.
+    """
+    done = dedup_lines(docs)
+    changed: Column = F.col("n_cut_chars") > 0
+    done = done.filter(~(changed & F.coalesce(F.length(F.trim("text")) == 0, F.lit(False))))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
