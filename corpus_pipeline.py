@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, lines, packing, quality, simhash
 from spanloom.llm.registry import tokenizer_path
@@ -20,10 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut; a document of which nothing is left goes."""
-    done = lines.dedup_lines(docs)
-    emptied = (F.col("n_cut_lines") > 0) & (F.length(F.trim("text")) == 0)
-    n_chars = F.when(F.col("n_cut_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    return lines.keep_rest(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
