@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -11,14 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names by their part in a page, and names of boxes around a text.
+# Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head script style noscript template iframe svg math nav header footer aside form menu dialog button select textarea input title object embed canvas audio video search".split())
+#: Elements whose content is never text of the page.
+DROPPED = frozenset("head script style noscript template iframe svg math button select textarea input title object embed canvas audio video".split())
+#: Elements that mostly stand around a text: their characters count little, and so do those of all inside them.
+AROUND = frozenset("nav header footer aside form menu dialog search".split())
+#: What a character counts in a node whose name, class, id or role says that it stands around the text.
+PRIOR = 0.02
+#: Part of the chosen node's density sum at which a node beside or inside it counts as main text too.
+SHARE = 0.25
+#: Part of a node's characters in links at which it is a list of links.
+LINKS = 0.8
+#: Elements that may be main text without elements of their own.
+TEXT = frozenset("blockquote dd dl dt h1 h2 h3 h4 h5 h6 li ol p pre table td th tr ul".split())
+#: What the density of a lone box counts in its parent's sum: the only child of its name without blocks, and no element of TEXT.
+LONE = 0.25
 WHOLE = frozenset("html body main".split())
 #: Open elements that a start tag ends, up to the element that holds them.
 ENDED_BY = {
@@ -31,7 +45,7 @@ ENDED_BY = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 BOXES = "ad|ads|advert|advertisement|adverts|sponsor|sponsored|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|related|share|sharing|sidebar|social|subscribe|toolbar|widget"
-BOX = re.compile(rf"^(?:(?!(?:no|has|with|without)[-_])[a-z0-9]+[-_])?(?:{BOXES})(?:[-_][a-z0-9]+)*$")
+BOX = re.compile(rf"^(?:(?!(?:no|has|with|without)[-_])[a-z0-9]+[-_])?(?:{BOXES})(?:[-_](?:[0-9]+|area|bar|block|box|container|content|footer|header|inner|item|items|list|main|outer|row|section|thread|top|bottom|left|right|wrap|wrapper|banner|links|menu|media))*$")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -39,22 +53,31 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 class Node:
-    """An element: its parts are texts and nodes; chars, tags and those of links are sums over its subtree."""
+    """An element: its parts are texts and nodes; chars, tags and those of links are sums over its subtree.
 
-    __slots__ = ("name", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density")
+    around: it, or an element that holds it, stands around the text by its name; block:
+    the nearest block element, itself included; inline: how many inline elements of each
+    name are open in that block; bare: no block element is in it.
+    """
+
+    __slots__ = ("name", "parent", "parts", "dropped", "around", "block", "inline", "chars", "tags", "link_chars", "link_tags", "density", "sum", "bare", "blocks")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
+    def __init__(self, name: str, parent: Node | None, dropped: bool = False, around: bool = False):
         self.name, self.parent, self.parts, self.dropped = name, parent, [], dropped
+        self.around = around or parent is not None and parent.around
+        self.block = self if parent is None or name in BLOCK else parent.block
+        self.inline: Counter[str] | None = Counter() if self.block is self else None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.density = self.sum = 0.0
+        self.bare, self.blocks = True, 0
 
     def children(self) -> Iterator[Node]:
         return (p for p in self.parts if isinstance(p, Node) and not p.dropped)
 
 
-def is_box(name: str, attributes: str) -> bool:
-    """Whether an element's name, class, id or role says that it isn't part of the main text."""
-    if name in DROPPED:
+def is_around(name: str, attributes: str) -> bool:
+    """Whether an element's name, class, id or role says that it stands around the main text."""
+    if name in AROUND:
         return True
     if name in WHOLE or not attributes:
         return False
@@ -88,9 +111,20 @@ def tag_end(html: str, start: int) -> int:
 
 def parse(html: str) -> Node:
     """The tree of a page; wrong nesting is mended as browsers do for the common cases."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     here, at, n = root, 0, len(html)
     text: list[str] = []
+    open_blocks: Counter[str] = Counter()
+
+    def leave(node: Node) -> None:
+        """Closes all elements inside ``node``, which becomes the current one."""
+        nonlocal here
+        while here is not node:
+            if here.block is here:
+                open_blocks[here.name] -= 1
+            else:
+                here.block.inline[here.name] -= 1
+            here = here.parent
 
     def flush() -> None:
         if text:
@@ -125,36 +159,35 @@ def parse(html: str) -> Node:
         name = named[0].lower()
         at = end + 1
         if closing:
-            node = here
-            while node is not root and node.name != name and (name in BLOCK or node.name not in BLOCK):
-                node = node.parent
-            if node is not root and node.name == name:
+            if (open_blocks if name in BLOCK else here.block.inline)[name] > 0:
+                node = here
+                while node.name != name or node.block is not node and name in BLOCK:
+                    node = node.parent
                 flush()
-                here = node.parent
+                leave(node.parent)
             continue
         flush()
-        if name in BLOCK:
-            node = here
-            while node is not root and node.name != "p" and node.name not in BLOCK:
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
+        if name in BLOCK and here.block.name == "p":
+            leave(here.block.parent)
         if name in ENDED_BY:
             ended, held = ENDED_BY[name]
-            node = here
+            node = here.block
             while node is not root and node.name not in held:
+                up = node.parent
                 if node.name in ended:
-                    here = node.parent
-                    if name not in ("tr",):
+                    leave(up)
+                    if name != "tr":
                         break
-                node = node.parent
-        if name in ("html", "body") and any(_open(here, name)):
+                node = up.block
+        if name in ("html", "body") and open_blocks[name] > 0:
             continue
         if name == "body":
-            while here is not root and here.name != "html":
-                here = here.parent
+            node = here.block
+            while node is not root and node.name != "html":
+                node = node.parent.block
+            leave(node)
         attributes = html[named.end() : end]
-        node = Node(name, here, is_box(name, attributes))
+        node = Node(name, here, name in DROPPED, is_around(name, attributes))
         here.parts.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|$)", re.I).search(html, at)
@@ -165,17 +198,14 @@ def parse(html: str) -> Node:
                 at = n
         elif name not in VOID and not attributes.endswith("/"):
             here = node
+            if node.block is node:
+                open_blocks[name] += 1
+            else:
+                node.block.inline[name] += 1
     flush()
     return root
 
 
-def _open(node: Node | None, name: str) -> Iterator[bool]:
-    while node is not None:
-        if node.name == name:
-            yield True
-        node = node.parent
-
-
 def in_order(root: Node) -> list[Node]:
     """The kept nodes, parents before children, in page order; no recursion, as pages may nest deeply."""
     out, stack = [], [root]
@@ -187,9 +217,12 @@ def in_order(root: Node) -> list[Node]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Composite text density of each node: characters per tag, less where links hold much of them."""
+    """Composite text density of each node and the sum of its children's: characters per tag, less where links hold many of them.
+
+    A character of what stands around a text by its name counts PRIOR of one.
+    """
     for node in reversed(nodes):
-        node.chars += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        node.chars += (PRIOR if node.around else 1) * sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         if node.name == "a":
             node.link_chars = node.chars
         if node.parent is not None:
@@ -199,26 +232,47 @@ def measure(nodes: list[Node]) -> None:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.name == "a")
     whole = nodes[0]
-    for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
+    for node in reversed(nodes):
+        c, t, lc, lt = max(node.chars, 1) if node.chars else 0, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         if not c:
             continue
         plain = max(c - node.link_chars, 1)
         base = math.log(c * node.link_chars / plain + whole.link_chars * c / max(whole.chars, 1) + math.e)
-        node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(math.log(base), 1e-3) if base > 1.0001 else c / t * max(math.log(c / lc * t / lt), 0.0)
+        node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / (max(math.log(base), 1e-3) if base > 1.0001 else 1.0)
+        node.sum = node.sum or node.density
+        if node.block is node and not node.bare:
+            boxes = Counter(x.name for x in node.children() if x.block is x and x.bare)
+            for x in node.children():
+                if x.block is x and x.bare and x.name not in TEXT and boxes[x.name] == 1 and node.blocks > 1:
+                    node.sum -= (1 - LONE) * x.density
+        if node.parent is not None and node.block is node:
+            up = node.parent.block
+            up.sum += node.density
+            up.blocks += 1
+            up.bare = False
 
 
-def select(root: Node) -> list[Node]:
-    """The nodes that hold the main text, in page order.
+def is_main(node: Node, threshold: float, least: float) -> bool:
+    """Whether a node beside the way to the chosen one is main text as well: as dense as the way, and not a box without blocks."""
+    return node.density >= threshold > 0 and node.sum >= least and (node.name in TEXT or not node.bare)
+
 
-    The node whose children's densities have the greatest sum, widened to the outermost
-    article or main element that holds it, and what stands beside it on the way up to the
-    body and is at least as dense as the least dense node on that way.
+def select(root: Node) -> list[Node]:
+    """The nodes that hold the main text, in page order; what isn't text inside them is marked as dropped.
+
+    The node whose children's densities have the greatest sum, and with it what stands
+    beside it on the way up to the body, if it is at least as dense as the least dense node
+    on that way and its sum is SHARE of the chosen one's. Where an article or main element
+    with the same text differs in headings alone, that one is taken (a tie). Inside, what
+    is named as standing around a text goes unless its sum is SHARE of the whole, and so
+    do lists of links that are less dense than the threshold.
     """
     nodes = in_order(root)
     measure(nodes)
-    sums = [sum(c.density for c in x.children()) or x.density for x in nodes]
-    best = nodes[max(range(len(nodes)), key=lambda i: (sums[i], -i))]
+    inner = [x for x in nodes if x.block is x and x.name not in ("#root", "html")]
+    best = max(inner or nodes[:1], key=lambda x: x.sum)
+    if not any(x.name == "body" for x in inner) and nodes[0].sum > best.sum:  # a page without a body
+        best = nodes[0]
     way = []
     node: Node | None = best
     while node is not None:
@@ -226,11 +280,21 @@ def select(root: Node) -> list[Node]:
         node = node.parent
     body = [x for x in way if x.name not in ("#root", "html")] or way
     threshold = min(x.density for x in body)
-    holder = max((i for i, x in enumerate(way) if x.name in ("article", "main")), default=0)
+    least = SHARE * best.sum
+    holder = max((i for i, x in enumerate(way) if x.name in ("article", "main") and x.chars - best.chars < best.chars * SHARE), default=0)
     chosen = {id(way[holder])}
     for below, above in zip(way[holder:], way[holder + 1 :]):
-        chosen |= {id(c) for c in above.children() if c is not below and c.density >= threshold > 0}
-    return [x for x in nodes if id(x) in chosen]
+        chosen |= {id(c) for c in above.children() if c is not below and is_main(c, threshold, least)}
+    out = [x for x in nodes if id(x) in chosen]
+    stack = list(out)
+    while stack:
+        for child in stack.pop().children():
+            list_of_links = child.block is child and child.link_tags > 1 and child.link_chars >= LINKS * child.chars and child.density < threshold
+            if child.around and not best.around and child.sum < least or list_of_links and child.sum < least:
+                child.dropped = True
+            else:
+                stack.append(child)
+    return out
 
 
 def blocks(node: Node) -> Iterator[str]:

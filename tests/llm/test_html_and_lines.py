@@ -49,7 +49,61 @@ def test_densest_subtree_without_article():
     assert html.main_text(page) == "\n".join([(WORDS * 5).strip()] * 2)
 
 
-def test_articles_widen_but_never_narrow():
+def test_density_decides_without_names(sf_dir):
+    """All pages of sf0.01 with article as div and other class names: the same texts."""
+    import duckdb
+
+    rng = random.Random(0)
+    pages = [h for (h,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    rename = lambda h: re.sub(r'class="[^"]*"', lambda m: f'class="k{rng.randrange(10**6)}"', h).replace("<article", "<div").replace("</article", "</div")
+    assert sum(html.main_text(rename(h)) == slow_article(h) for h in pages) == len(pages) == 250
+
+
+def slow_best(node):
+    """The block whose child blocks' densities have the greatest sum, by plain recursion over a tree without links."""
+    import math
+
+    def chars(x):
+        return sum(len(p.strip()) if isinstance(p, str) else chars(p) for p in x.parts)
+
+    def tags(x):
+        return sum(1 + tags(p) for p in x.parts if not isinstance(p, str))
+
+    def density(x):
+        c, t = chars(x), max(tags(x), 1)
+        return c / t * max(math.log(c * t), 0.0) / max(math.log(math.log(c * 0 + 0 + math.e)), 1e-3) if c else 0.0
+
+    def walk(x):
+        yield x
+        for p in x.parts:
+            if not isinstance(p, str):
+                yield from walk(p)
+
+    def total(x):
+        kids = [p for p in x.parts if not isinstance(p, str)]
+        return sum(map(density, kids)) if kids else density(x)
+
+    return max(walk(node), key=total)
+
+
+def test_best_node_matches_brute_force():
+    rng = random.Random(2)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{'x' * rng.randint(1, 400)}</p>"
+        return f"<section>{''.join(tree(depth - 1) for _ in range(rng.randint(1, 5)))}</section>"
+
+    for _ in range(60):
+        root = html.parse(f"<body>{tree(4)}{tree(4)}</body>")
+        want = slow_best(root)
+        nodes = html.in_order(root)
+        html.measure(nodes)
+        got = max((x for x in nodes if x.block is x), key=lambda x: x.sum)
+        assert got is want or abs(got.sum - want.sum) <= 1e-9 * got.sum
+
+
+def test_what_stands_beside_and_inside_the_text():
     long, links = (WORDS * 5).strip(), "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(40))
     teaser = f"<body><ul>{links}</ul><div><p>{long}</p><p>{long}</p><article class=teaser>short</article></div></body>"
     assert html.main_text(teaser) == f"{long}\n{long}\nshort"
@@ -57,8 +111,30 @@ def test_articles_widen_but_never_narrow():
     assert html.main_text(comment) == f"{long}\n{long}"
     siblings = f"<body><ul>{links}</ul><div><article><p>{long}</p><p>{long}</p><p>{long}</p></article><article><p>second {long}</p></article><article><a href=/more>more</a></article></div></body>"
     assert html.main_text(siblings) == "\n".join([long] * 3 + [f"second {long}"])
-    widened = f"<body><ul>{links}</ul><article><h1>Head</h1><div><p>{long}</p><p>{long}</p></div></article></body>"
-    assert html.main_text(widened) == f"Head\n{long}\n{long}"
+    headed = f"<body><ul>{links}</ul><article><h1>Head</h1><div><p>{long}</p><p>{long}</p></div></article></body>"
+    assert html.main_text(headed) == f"Head\n{long}\n{long}"
+    menu = f"<body><main><ul><li><a href=/a>menu</a><li><a href=/b>menu2</a></ul><p>{long}</p><p>{long}</p></main></body>"
+    assert html.main_text(menu) == f"{long}\n{long}"
+
+
+def test_names_are_a_prior_and_never_decide_alone():
+    prose = " ".join(f"This is sentence number {i} of the text." for i in range(30))
+    for name in ("social-science", "notice-of-motion", "comment-le-faire", "comments"):
+        page = f'<body><div class="{name}">{prose}</div><p>tail</p></body>'
+        assert prose in html.main_text(page)
+    assert html.main_text(f"<body><div class=text><p>{prose}</p><p>{prose}</p></div><div class=comments><p>{prose}</p><p>{prose}</p><p>{prose}</p></div></body>") == f"{prose}\n{prose}"
+
+
+def test_time_is_linear_in_unclosed_elements():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        html.main_text("<b>x" * n + "<p>y</i>" * n + "<article><p>z</p></article>" * n)
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) / took(4000) < 10
 
 
 def test_broken_pages_end():
