@@ -12,34 +12,38 @@ each class is for unknown words.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.text import crc_mod, lower_words
-from spanloom.session import stored
+from spanloom.session import discard, stored
 
 CLASSES = 1 << 15
 STATES = 6
-#: Full Baum-Welch passes over all training documents.
-PASSES = 2
+#: Passes over all training rows end when one gains less than this part of the log likelihood.
+GAIN = 1e-3
 #: First guess: Baum-Welch rounds over this many documents, drawn by hash.
-START_DOCUMENTS = 256
+START_DOCUMENTS = 1024
 START_ROUNDS = 12
-#: Training texts are cut into runs of this many tokens; scoring never cuts.
-RUN = 64
+#: Texts with more tokens are handled in stretches of RUN, whose messages are passed on at their borders: the same sums, sooner.
+LONG, RUN = 1024, 256
+#: Tokens handled at once in training.
+BATCH = 400_000
 #: Prior weight of the corpus' class shares in each state's emissions.
 PRIOR = 5000.0
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes that meet one slice of the vocabulary.
 BLOCK_BYTES = 16_000_000
+#: Words, each of as many bytes at most, that go to all executors with their counts; drawn from START_DOCUMENTS.
+HOT_WORDS, HOT_BYTES = 20_000, 64
 #: The end of a text as a token; no word contains white space.
 END = b"\n"
 
@@ -69,54 +73,98 @@ def first_model(seed: int = 7, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def expect(model: Model, texts: Iterable[np.ndarray], most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions over these token lists, and their log likelihood (by runs)."""
+def by_time(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order of runs by falling length, and their tokens: all first ones in that order, then all second ones, and where each begins."""
+    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    flat = np.concatenate([runs[i] for i in order])
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    tokens = flat[np.argsort(at, kind="stable")]
+    return order, tokens, [0, *np.cumsum(np.bincount(at)).tolist()]
+
+
+def transfers(model: Model, runs: list[np.ndarray]) -> np.ndarray:
+    """For each run, how its first state's weights become its last state's, up to a factor (runs x K x K)."""
     k = len(model.start)
+    order, tokens, steps = by_time(runs)
+    out = np.empty((len(runs), k, k))
+    held = np.eye(k)[None] * model.emit[tokens[: steps[1]]][:, None, :]
+    for a, b in zip(steps[1:], steps[2:]):
+        out[b - a : len(held)] = held[b - a :]
+        held = (held[: b - a] @ model.move) * model.emit[tokens[a:b]][:, None, :]
+        held /= held.sum(axis=(1, 2), keepdims=True)
+    out[: len(held)] = held
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def expect(model: Model, texts: Iterable[np.ndarray], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions over these whole token lists, and their log likelihood."""
+    k, most = len(model.start), most or BATCH
     starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k)), 0.0
 
-    def flush(runs: list[np.ndarray]) -> float:
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        longest = int(lengths[0])
-        tokens = np.full((longest, len(runs)), CLASSES)
-        for column, r in enumerate(order):
-            tokens[: len(runs[r]), column] = runs[r]
-        alive = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]  # runs longer than t
+    def flush(runs: list[np.ndarray], first: list[bool], before: list[np.ndarray], after: list[np.ndarray]) -> float:
+        """Runs with the state weights of the token before each (the start's, where a text begins) and the message from behind it."""
+        order, tokens, steps = by_time(runs)
+        begins, before_, after_ = np.array(first)[order], np.array(before)[order], np.array(after)[order]
         likely = model.emit[tokens]
-        alpha = np.empty((longest, len(runs), k))
-        scale = np.ones((longest, len(runs)))
-        for t in range(longest):
-            m = alive[t]
-            a = (model.start if t == 0 else alpha[t - 1, :m] @ model.move) * likely[t, :m]
-            scale[t, :m] = s = a.sum(1)
-            alpha[t, :m] = a / s[:, None]
-        beta = np.ones((len(runs), k))
-        for t in range(longest - 1, -1, -1):
-            m = alive[t]
-            gamma = alpha[t, :m] * beta[:m]
-            for state in range(k):
-                emits[:, state] += np.bincount(tokens[t, :m], weights=gamma[:, state], minlength=CLASSES + 1) if m > 4000 else 0
-            if m <= 4000:
-                np.add.at(emits, tokens[t, :m], gamma)
+        alpha, scale = np.empty_like(likely), np.empty(len(tokens))
+        for t, (a, b) in enumerate(zip(steps, steps[1:])):
+            prior = np.where(begins[:, None], before_, before_ @ model.move) if t == 0 else alpha[a - (steps[t] - steps[t - 1]) : a][: b - a] @ model.move
+            x = prior * likely[a:b]
+            scale[a:b] = s = x.sum(1)
+            np.divide(x, s[:, None], out=alpha[a:b])
+        beta = np.empty((len(runs), k))
+        for t in range(len(steps) - 2, -1, -1):
+            a, b = steps[t], steps[t + 1]
+            longer = steps[t + 2] - b if t + 2 < len(steps) else 0
+            ended = slice(longer, b - a)  # runs whose last token this is
+            beta[ended] = after_[ended] / (alpha[a:b][ended] * after_[ended]).sum(1, keepdims=True)
+            back = likely[a:b] * beta[: b - a] / scale[a:b, None]
             if t:
-                back = likely[t, :m] * beta[:m] / scale[t, :m, None]
-                moves[:] += model.move * (alpha[t - 1, :m].T @ back)
-                beta[:m] = back @ model.move.T
+                moves[:] += model.move * (alpha[steps[t - 1] : a][: b - a].T @ back)
             else:
-                starts[:] += gamma.sum(0)
+                starts[:] += (alpha[a:b] * beta[: b - a])[begins].sum(0)
+                moves[:] += model.move * (before_[~begins].T @ back[~begins])
+            alpha[a:b] *= beta[: b - a]
+            beta[: b - a] = back @ model.move.T
+        for state in range(k):
+            emits[:, state] += np.bincount(tokens, weights=alpha[:, state], minlength=CLASSES + 1)
         return float(np.log(scale).sum())
 
-    held, size = [], 0
+    held: tuple[list, list, list, list] = ([], [], [], [])
+    size = 0
+
+    def add(run: np.ndarray, *rest) -> None:
+        nonlocal size, total, held
+        for column, x in zip(held, (run, *rest)):
+            column.append(x)
+        size += len(run)
+        if size >= most:
+            total += flush(*held)
+            held, size = ([], [], [], []), 0
+
     for text in texts:
-        for i in range(0, len(text), RUN):
-            held.append(text[i : i + RUN])
-            size += len(held[-1])
-            if size >= most:
-                total += flush(held)
-                held, size = [], 0
-    if held:
-        total += flush(held)
+        if len(text) <= LONG:
+            add(text, True, model.start, np.ones(k))
+            continue
+        runs = [text[i : i + RUN] for i in range(0, len(text), RUN)]
+        through = np.concatenate([transfers(model, runs[i : i + 512]) for i in range(0, len(runs), 512)])
+        before, after, message = [model.start], [np.ones(k)], np.ones(k)
+        weights = model.start
+        for m in through[:-1]:
+            weights = weights @ m
+            before.append(weights := weights / weights.sum())
+            weights = weights @ model.move
+        for m in through[:0:-1]:
+            message = model.move @ (m @ message)
+            after.append(message := message / message.sum())
+        for i, run in enumerate(runs):
+            add(run, i == 0, before[i], after[-1 - i])
+    if held[0]:
+        total += flush(*held)
     return starts, moves, emits, total
 
 
@@ -131,44 +179,56 @@ def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each whole token list, by the scaled forward recursion over all of them at once."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    order = np.argsort(-lengths, kind="stable")
-    ranked = lengths[order]
-    flat = np.concatenate([texts[i] for i in order])
-    at = np.concatenate([[0], np.cumsum(ranked)[:-1]])
-    out = np.zeros(len(texts))
-    alpha, alive = None, len(texts)
-    for t in range(int(ranked[0])):
-        while ranked[alive - 1] <= t:
-            alive -= 1
-        likely = model.emit[flat[at[:alive] + t]]
-        alpha = (model.start if t == 0 else alpha[:alive] @ model.move) * likely
+    order, tokens, steps = by_time(texts)
+    out, alpha = np.zeros(len(texts)), None
+    for a, b in zip(steps, steps[1:]):
+        alpha = (model.start if alpha is None else alpha[: b - a] @ model.move) * model.emit[tokens[a:b]]
         s = alpha.sum(1)
-        out[:alive] += np.log10(s)
+        out[: b - a] += np.log10(s)
         alpha = alpha / s[:, None]
     back = np.empty(len(texts))
     back[order] = out
     return back
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, doc_id, text, held_out): a stored copy of ``docs``, dealt into blocks of about ``block_bytes`` where its rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = batch.column(3).to_numpy(zero_copy_only=False)
+            place = (held + np.cumsum(sizes) - sizes) // block_bytes
+            held += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(block + place), *(batch.column(i) for i in range(3))], names=["block", "doc_id", "text", "held_out"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return stored(rows.mapInArrow(run, "block long, doc_id long, text string, held_out boolean"), "blocks")
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """START_DOCUMENTS training texts, drawn by hash, for one task."""
+    return rows.filter(~F.col("held_out")).orderBy(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).limit(START_DOCUMENTS).select("text").coalesce(1)
 
 
-def train(docs: DataFrame, passes: int = PASSES, states: int = STATES) -> Model:
-    """Baum-Welch over all rows of ``docs`` (text) that are not held out.
+def train(rows: DataFrame, states: int = STATES, gain: float = GAIN, passes: int | None = None) -> Model:
+    """Baum-Welch over all ``rows`` (text, held_out) that are not held out.
 
-    Each pass is one job: tasks sum expected counts over their rows, Spark adds them up
-    by class, and the driver gets one row for each class.
+    Each pass is one job over whole texts: tasks sum expected counts over their rows,
+    Spark adds them up by class, and the driver gets one row for each class. Passes go on
+    until one gains less than ``gain`` of the log likelihood, or for exactly ``passes``.
     """
     names = [f"s{i}" for i in range(states)]
-    schema = "cell long, " + ", ".join(f"{n} double" for n in names)
+    schema = "cell long, " + ", ".join(f"{n} float" for n in names)
     size = CLASSES + 1
 
-    def cells(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> pa.RecordBatch:
-        rows = np.concatenate([emits, moves, starts[None]])
-        some = np.flatnonzero(rows.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(np.ascontiguousarray(rows[some, i])) for i in range(states)]], names=["cell", *names])
+    def cells(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, likely: float) -> Iterator[pa.RecordBatch]:
+        sums = np.concatenate([emits, moves, starts[None]])
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(sums[some, i].astype(np.float32)) for i in range(states)]], names=["cell", *names])
+        whole = np.zeros(states, np.float32)
+        whole[0] = likely
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), *[pa.array(whole[i : i + 1]) for i in range(states)]], names=["cell", *names])
 
     def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -179,86 +239,125 @@ def train(docs: DataFrame, passes: int = PASSES, states: int = STATES) -> Model:
         texts, model = list(ids(batches)), first_model(states=states)
         if texts:
             for _ in range(START_ROUNDS):
-                *counts, _ = expect(model, texts)
+                *counts, likely = expect(model, texts)
                 model = maximise(*counts)
-            yield cells(*counts)
+            yield from cells(*counts, likely)
 
-    def read(df: DataFrame) -> Model | None:
-        out = np.zeros((size + states + 1, states))
+    def read(df: DataFrame) -> tuple[Model | None, float]:
+        out, likely = np.zeros((size + states + 1, states)), 0.0
         for r in df.collect():
-            out[r.cell] = r[1:]
-        return maximise(out[-1], out[size:-1], out[:size]) if out.any() else None
+            if r.cell < 0:
+                likely = r[1]
+            else:
+                out[r.cell] = r[1:]
+        return (maximise(out[-1], out[size:-1], out[:size]) if out.any() else None), likely
 
-    chosen = _texts(docs).filter(~F.col("held_out"))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS).select("text").coalesce(1)
-    model = read(sample.mapInArrow(first, schema)) or maximise(np.zeros(states), np.zeros((states, states)), np.zeros((size, states)))
-    for _ in range(passes):
-        held = docs.sparkSession.sparkContext.broadcast(model)
+    nothing = maximise(np.zeros(states), np.zeros((states, states)), np.zeros((size, states)))
+    model = read(_drawn(rows).mapInArrow(first, schema))[0] or nothing
+    last, n = None, 0
+    while passes is None or n < passes:
+        held = rows.sparkSession.sparkContext.broadcast(model)
 
         def step(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            *counts, _ = expect(held.value, ids(batches))
-            yield cells(*counts)
+            yield from cells(*expect(held.value, ids(batches)))
 
-        sums = chosen.select("text").mapInArrow(step, schema).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names])
-        model = read(sums) or model
+        sums = rows.filter(~F.col("held_out")).select("text").mapInArrow(step, schema).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names])
+        new, likely = read(sums)
         held.unpersist()
+        model, n = new or model, n + 1
+        if new is None or passes is None and last is not None and likely - last < gain * abs(last):
+            break
+        last = likely
     return model
 
 
-def word_slices(blocks: DataFrame) -> DataFrame:
-    """(block, word, c, n): every word of each block with its count c over all training documents and n in this block."""
+def hot_words(rows: DataFrame) -> list[bytes]:
+    """The most frequent words of the drawn texts, and the end; none of them is one task's later, however frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(w for w in lower_words(text) if len(w) <= HOT_BYTES)
+        words = [w for w, n in seen.most_common(HOT_WORDS) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])
+
+    return sorted({END, *(bytes(r.word) for r in _drawn(rows).mapInArrow(run, "word binary").collect())})
+
+
+def word_counts(rows: DataFrame, hot: list[bytes]) -> DataFrame:
+    """(block, word, n): n of each word in the training rows of each block, 0 if only held-out rows have it.
+
+    Rows with a ``hot`` word are added up over all blocks of a task, as block -1.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(frozenset(hot))
+
+    def table(block: int, counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        words = sorted(counts)  # neighbours share beginnings, which compress
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.array(np.fromiter(map(counts.__getitem__, part), np.int64, len(part)))], names=["block", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter[bytes]] = defaultdict(Counter)
+        hot, often = held.value, Counter()
+        here, known = None, Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for w in hot.intersection(known):
+                often[w] += known.pop(w)
+            if known:
+                yield from table(here, known)
+            known.clear()
+
         for batch in batches:
             for block, text, held_out in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                known = counts[block]
+                if block != here:
+                    yield from done()
+                    here = block
                 found = lower_words(text)
                 found.append(END)
-                if held_out:
-                    known.update(dict.fromkeys(found, 0))
-                else:
-                    known.update(found)
-        for block, known in counts.items():
-            names, n = list(known), np.fromiter(known.values(), np.int64, len(known))
-            for i in range(0, len(names), 50_000):
-                part = names[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.array(n[i : i + 50_000])], names=["block", "word", "n"])
-
-    words = blocks.select("block", "text", "held_out").mapInArrow(run, "block long, word binary, n long")
-    same = Window.partitionBy("word")
-    return words.select("block", "word", F.sum("n").over(same).alias("c"), F.min("block").over(same).alias("first"))
+                known.update(dict.fromkeys(found, 0) if held_out else found)
+        yield from done()
+        if often:
+            yield from table(-1, often)
+
+    return stored(rows.select("block", "text", "held_out").mapInArrow(run, "block long, word binary, n long"), "counts")
 
 
 def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of each row of ``docs`` (doc_id, text; other columns are ignored) by whole texts.
 
     Rows whose crc32(doc_id as text) mod 7 is 2 are held out of all training counts.
-    Rows are dealt into blocks of about ``block_bytes``; each block meets the counts of
-    its own words only, so no vocabulary is ever held whole. Null and empty texts are one
-    token, the end. A null doc_id counts as the empty text there and stays null. Repeated
-    rows are scored, and counted, one by one. An empty table gives an empty table.
+    Rows are dealt into blocks of about ``block_bytes`` where they are; each block meets
+    the counts of its own words only, so no vocabulary is ever held whole. Counts of
+    frequent words (a list of bounded size) are added up inside tasks and sent to all
+    executors, those of others go from blocks to words and back. Null and empty texts are
+    one token, the end. A null doc_id counts as the empty text there and stays null.
+    Repeated rows are scored, and counted, one by one. An empty table gives an empty table.
     """
-    model = train(docs) if model is None else model
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(8, ceil(total / block_bytes))
-    deal = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text")), F.lit(n_blocks))
-    blocks = _texts(docs).withColumn("block", deal).repartition(n_blocks, "block")
-    slices = stored(word_slices(blocks), "words")
-    known = F.col("c") > 0
+    rows = in_blocks(docs, block_bytes)
+    model = train(rows) if model is None else model
+    counts = word_counts(rows, hot_words(rows))
     bucket = F.when(F.col("word") == F.lit(END), F.lit(CLASSES)).otherwise(F.crc32("word").bitwiseAND(F.lit(CLASSES - 1)))
-    one = slices.filter(F.col("block") == F.col("first"))
-    rows = one.groupBy(bucket.alias("class")).agg(F.sum("c").alias("n"), F.sum(known.cast("long")).alias("v")).collect()
+    often = {bytes(r.word): r.c for r in counts.filter("block < 0").groupBy("word").agg(F.sum("n").alias("c")).collect()}
+    same = Window.partitionBy("word")
+    slices = counts.filter("block >= 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("one"))
+    slices = stored(slices, "words")
+    discard(counts)
     held, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in rows:
+    for r in slices.filter("one").groupBy(bucket.alias("class")).agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect():
         held[r["class"]], kinds[r["class"]] = r.n, r.v
+    for w, c in often.items():
+        k = CLASSES if w == END else crc32(w) & (CLASSES - 1)
+        held[k] += c
+        kinds[k] += c > 0
     n_all, n_kinds = int(held.sum()), int(kinds.sum())
-    shared = spark.sparkContext.broadcast((model, np.log10(held + kinds + 1)))
+    shared = spark.sparkContext.broadcast((model, np.log10(held + kinds + 1), often))
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        model, class_log = shared.value
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
+        model, class_log, often = shared.value
+        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist())) | often
         columns = [[] for _ in range(7)]
         for batch in texts.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=2000):
             size, ids, extra = 0, [], []
@@ -280,10 +379,10 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
                 ids.append(classes)
                 extra.append((own - class_log[classes].sum(), (doc_id, held_out, len(known), int(np.count_nonzero(known)), n_all, float(base))))
                 size += len(known)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     flush()
             flush()
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return blocks.groupBy("block").cogroup(slices.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
+    return rows.groupBy("block").cogroup(slices.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)

@@ -71,6 +71,46 @@ def test_baum_welch_never_loses_likelihood():
         model = hmm.Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
 
 
+def test_expected_counts_match_brute_force_and_pass_stretch_borders(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = hmm.maximise(rng.random(3), rng.random((3, 3)), rng.random((hmm.CLASSES + 1, 3)))
+    tokens = rng.integers(0, 5, 7)
+    starts, moves, emits, total = np.zeros(3), np.zeros((3, 3)), np.zeros((hmm.CLASSES + 1, 3)), 0.0
+    for path in itertools.product(range(3), repeat=len(tokens)):
+        p = model.start[path[0]] * model.emit[tokens[0], path[0]]
+        for t in range(1, len(path)):
+            p *= model.move[path[t - 1], path[t]] * model.emit[tokens[t], path[t]]
+        total += p
+        starts[path[0]] += p
+        for t, z in enumerate(path):
+            emits[tokens[t], z] += p
+            if t:
+                moves[path[t - 1], z] += p
+    for long, run in ((1024, 256), (3, 2), (2, 1), (3, 3)):
+        monkeypatch.setattr(hmm, "LONG", long)
+        monkeypatch.setattr(hmm, "RUN", run)
+        got = hmm.expect(model, [tokens])
+        assert all(np.allclose(g, w / total) for g, w in zip(got, (starts, moves, emits))) and math.isclose(got[3], math.log(total))
+    texts = [rng.integers(0, 400, n) for n in (3000, 1, 17, 900, 257, 256, 2)]
+    whole, parted = [], []
+    for out, long in ((whole, 10**9), (parted, 100)):
+        monkeypatch.setattr(hmm, "LONG", long)
+        monkeypatch.setattr(hmm, "RUN", 64)
+        out += hmm.expect(model, texts, most=1500)
+    assert all(np.allclose(a, b) for a, b in zip(whole, parted))
+
+
+def test_training_ends_when_a_pass_gains_little(spark, frame):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(40)}" for _ in range(rng.randint(1, 60))), "en", "s", 1) for i in range(300)]
+    blocks = hmm.in_blocks(frame(rows), 2000)
+    assert blocks.select("block").distinct().count() > 3 and blocks.count() == 300
+    texts = [hmm.class_ids(w) for i, t, *_ in rows if crc(i) % 7 != 2 for w in [words(t)]]
+    likely = [hmm.expect(hmm.train(blocks, states=2, passes=n), texts)[3] for n in (1, 2)]
+    ended = hmm.expect(hmm.train(blocks, states=2, gain=1e-3), texts)[3]
+    assert likely[0] <= likely[1] + 1e-6 and ended >= likely[1] - 1e-3 * abs(likely[1])
+
+
 def test_empty_corpus(spark, frame):
     assert hmm.score(frame(AWKWARD).filter("false")).count() == 0
     assert langid.identify(frame(AWKWARD).filter("false")).count() == 0
