@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -44,13 +45,19 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more; any other table is left alone."""
+    """Delete stored tables that nothing reads any more; any other table is left alone.
+
+    The collectors are run too, so that Spark also drops the shuffle files of plans that
+    are no longer referred to.
+    """
     for df in tables:
         path = getattr(df, "spanloom_path", None)
         if path:
             spark = df.sparkSession
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            gc.collect()
+            spark._jvm.System.gc()
 
 
 _shipped: set[str] = set()
