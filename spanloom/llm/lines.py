@@ -23,16 +23,17 @@ ROLL = 2
 NEIGHBOURS = 2
 #: A chunk ends at the first border that leaves it this many lines and characters. A line of LONE_CHARS has borders
 #: of its own and is a chunk by itself, as no border may fall inside a short passage otherwise.
-CHUNK_LINES, CHUNK_CHARS, LONE_CHARS = 2, 20, 200
-#: A repeated run is cut if it has this many words once it is extended over its neighbours.
-PASSAGE_WORDS = 50
+CHUNK_LINES, CHUNK_CHARS, LONE_CHARS = 2, 80, 200
+#: A run of repeated chunks is compared if it has these characters, and cut if it has these words once it is
+#: extended over its neighbours.
+RUN_CHARS, PASSAGE_WORDS = 100, 50
 #: Characters on either side of a run that are sent along with it, over which it may be extended.
 CONTEXT = 400
 #: Copies of a chunk that one task compares; more are dealt to several.
 TASK_COPIES = 2000
 #: Copies of a chunk up to which a join on chunks may gather them.
 HOT = 100_000
-#: Rows (32 bytes each) of a table up to which it is sent to all executors; they are counted first.
+#: Rows of a table of numbers (32 bytes each at most) up to which it is sent to all executors; they are counted first.
 BROADCAST_ROWS = 1_000_000
 #: Characters handled at once.
 BLOCK_CHARS = 2_000_000
@@ -185,6 +186,7 @@ def copied_chunks(found: DataFrame) -> DataFrame:
         often = F.broadcast(stored(repeated.filter(hot), "often"))
         marked = found.join(often, "h").unionByName(found.join(often.select("h"), "h", "left_anti").join(repeated.filter(~hot), "h"))
     marked = stored(marked, "copies")
+    discard(found, repeated)
     first = marked.filter("doc = low").groupBy("h").agg(F.min("cid").alias("keep"), F.min_by("rid", "cid").alias("from_rid"), F.min_by("at", "cid").alias("from_at"), F.max("n").alias("n"))
     out = _dealt(marked.select("h", "n", "cid", "rid", "at", "size"), first, ["h"])
     return out.filter("cid != keep").select("rid", "at", "size", "from_rid", "from_at")
@@ -204,7 +206,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mine[-1][1] = max(mine[-1][1], c["at"] + c["size"])
                 else:
                     mine.append([c["at"], c["at"] + c["size"], c["from_rid"], c["from_at"]])
-            out += [(rid, at, end - at, from_rid, from_at) for at, end, from_rid, from_at in mine]
+            out += [(rid, at, end - at, from_rid, from_at) for at, end, from_rid, from_at in mine if end - at >= RUN_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
 
 
@@ -283,16 +285,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     copy = stored(docs.toDF(*names).withColumn("__rid", F.monotonically_increasing_id()), "docs")
     rows = copy.select(F.col("__rid").alias("rid"), F.coalesce(doc.cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"))
     found = stored(chunks(rows.filter("text IS NOT NULL")).withColumn("cid", F.monotonically_increasing_id()), "chunks")
-    per_row = copied_chunks(found).groupBy("rid").agg(F.collect_list(F.struct("at", "size", "from_rid", "from_at")).alias("found"))
+    copies = copied_chunks(found)
+    per_row = copies.groupBy("rid").agg(F.collect_list(F.struct("at", "size", "from_rid", "from_at")).alias("found"))
     runs = stored(per_row.mapInArrow(_runs, "rid long, at long, size long, from_rid long, from_at long"), "runs")
-    discard(found)
-    asked = stored(runs.groupBy("from_rid", "from_at", "size").agg(F.count(F.lit(1)).alias("n")), "asked")
-    source = asked.groupBy(F.col("from_rid").alias("rid")).agg(F.collect_list(F.struct("from_at", "size", "n")).alias("asked"))
-    piece = rows.join(source, "rid").select("rid", "text", "asked").mapInArrow(_pieces, "from_rid long, from_at long, size long, n long, before string, piece string, after string")
     key = ["from_rid", "from_at", "size"]
-    compared = _dealt(runs.join(asked, key), piece, key)
+    asked = stored(runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "asked")
+    source = stored(asked.groupBy(F.col("from_rid").alias("rid")).agg(F.collect_list(F.struct("from_at", "size", "n")).alias("asked")), "source")
+    few = F.broadcast(source) if asked.count() <= BROADCAST_ROWS else source
+    piece = rows.join(few, "rid").select("rid", "text", "asked").mapInArrow(_pieces, "from_rid long, from_at long, size long, n long, before string, piece string, after string")
+    compared = _dealt(runs.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, key), piece, key)
     cuts = compared.groupBy(F.col("rid").alias("__row")).agg(F.collect_list(F.struct("at", "before", "piece", "after")).alias("__cuts"))
-    ready = copy.join(cuts, F.col("__rid") == F.col("__row"), "left").drop("__rid", "__row")
+    ids = stored(runs.select(F.col("rid").alias("__row")).distinct(), "rows")
+    same_row = F.col("__rid") == F.col("__row")
+    if ids.count() <= 4 * BROADCAST_ROWS:  # rows without a run stay where they are
+        ready = copy.join(F.broadcast(ids), same_row, "left_semi").join(cuts, same_row).drop("__rid", "__row")
+        ready = ready.unionByName(copy.join(F.broadcast(ids), same_row, "left_anti").drop("__rid"), allowMissingColumns=True)
+    else:
+        ready = copy.join(cuts, same_row, "left").drop("__rid", "__row")
     at = docs.columns.index("text")
     out_schema = StructType(list(docs.schema.fields))  # a copy: add() changes its object
     for name in ("n_lines", "n_cuts", "n_cut_words", "n_cut_chars"):
