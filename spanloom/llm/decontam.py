@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.text import ascii_lower
-from spanloom.session import stored
+from spanloom.session import discard, stored
 
 #: Words in a window.
 WINDOW = 13
@@ -97,8 +97,13 @@ def phrase_matches(index: DataFrame, marks: DataFrame, kinds: DataFrame, rows: D
 
     What survives the intersection is compared word by word with the row's own words.
     """
-    found = stored(proposals(index, marks), "proposals").groupBy("rid").agg(F.collect_list(F.struct("wid", "start")).alias("at"))
-    near = rows.select("rid", F.col("words").alias("ws")).join(found, "rid").select("rid", "ws", F.explode("at").alias("p"))
+    agreed = stored(proposals(index, marks), "proposals")
+    found = agreed.groupBy("rid").agg(F.collect_list(F.struct("wid", "start")).alias("at"))
+    if agreed.count() * 24 <= BROADCAST_BYTES:  # a row for each place: three numbers
+        near = rows.select("rid", F.col("words").alias("ws")).join(F.broadcast(found), "rid")
+    else:  # words hold no space, so that a text is shuffled, which is smaller than a list
+        near = rows.select("rid", F.array_join("words", " ").alias("text")).join(found, "rid").withColumn("ws", F.split("text", " "))
+    near = near.select("rid", "ws", F.explode("at").alias("p"))
     near = near.select("rid", F.col("p.wid").alias("wid"), F.col("p.start").alias("start"), F.slice("ws", F.col("p.start") + 1, window).alias("here"))
     same = meet(near, kinds, "wid").filter(F.slice("here", 1, F.size("words")) == F.col("words"))
     return same.select("rid", "wid", "start", F.size("words").alias("length"))
@@ -147,6 +152,7 @@ def hit_rows(rows: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
     marks = stored(anchors(kinds, counts), "anchors")
     index = stored(postings(rows, stored(marks.select("term").distinct(), "keys")), "postings")
     matches = stored(phrase_matches(index, marks, kinds, rows, window), "matches")
+    discard(index)
     hits = matches.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
     found = meet(matches.select("rid", "wid").distinct(), owners, "wid").select("rid", F.explode("owners").alias("item"))
     found = found.groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
