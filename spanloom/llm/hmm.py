@@ -29,14 +29,14 @@ from spanloom.session import discard, stored
 CLASSES = 1 << 15
 STATES = 6
 #: Passes over all training rows end when one gains less than this part of the log likelihood.
-GAIN = 1e-3
+GAIN = 1e-2
 #: First guess: Baum-Welch rounds over this many documents, drawn by hash.
 START_DOCUMENTS = 1024
 START_ROUNDS = 12
 #: Texts with more tokens are handled in stretches of RUN, whose messages are passed on at their borders: the same sums, sooner.
-LONG, RUN = 1024, 256
-#: Tokens handled at once in training.
-BATCH = 400_000
+LONG, RUN = 16_384, 256
+#: Tokens handled at once, and tokens held until texts of like lengths are put together.
+BATCH, HELD = 500_000, 3_000_000
 #: Prior weight of the corpus' class shares in each state's emissions.
 PRIOR = 5000.0
 FOLDS, HELD_OUT = 7, 2
@@ -73,6 +73,19 @@ def first_model(seed: int = 7, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
+def alike(runs: list[np.ndarray], most: int) -> Iterator[list[int]]:
+    """The numbers of the runs, by length, in groups of about ``most`` tokens, so that few steps are taken for few runs."""
+    group, size = [], 0
+    for i in sorted(range(len(runs)), key=lambda i: len(runs[i])):
+        group.append(i)
+        size += len(runs[i])
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def by_time(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The order of runs by falling length, and their tokens: all first ones in that order, then all second ones, and where each begins."""
     lengths = np.fromiter(map(len, runs), np.int64, len(runs))
@@ -103,48 +116,57 @@ def transfers(model: Model, runs: list[np.ndarray]) -> np.ndarray:
 def expect(model: Model, texts: Iterable[np.ndarray], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions over these whole token lists, and their log likelihood."""
     k, most = len(model.start), most or BATCH
+    emit, turn = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k)), 0.0
 
     def flush(runs: list[np.ndarray], first: list[bool], before: list[np.ndarray], after: list[np.ndarray]) -> float:
         """Runs with the state weights of the token before each (the start's, where a text begins) and the message from behind it."""
         order, tokens, steps = by_time(runs)
-        begins, before_, after_ = np.array(first)[order], np.array(before)[order], np.array(after)[order]
-        likely = model.emit[tokens]
+        begins, before_, after_ = np.array(first)[order], np.array(before)[order].T, np.array(after)[order].T
+        likely = emit[:, tokens]  # a row for each state, which is what makes sums over states quick
         alpha, scale = np.empty_like(likely), np.empty(len(tokens))
         for t, (a, b) in enumerate(zip(steps, steps[1:])):
-            prior = np.where(begins[:, None], before_, before_ @ model.move) if t == 0 else alpha[a - (steps[t] - steps[t - 1]) : a][: b - a] @ model.move
-            x = prior * likely[a:b]
-            scale[a:b] = s = x.sum(1)
-            np.divide(x, s[:, None], out=alpha[a:b])
-        beta = np.empty((len(runs), k))
+            prior = np.where(begins, before_, turn @ before_) if t == 0 else turn @ alpha[:, steps[t - 1] : steps[t - 1] + b - a]
+            x = np.multiply(prior, likely[:, a:b], out=alpha[:, a:b])
+            scale[a:b] = s = x.sum(0)
+            x /= s
+        likely /= scale
+        beta = np.empty((k, len(runs)))
         for t in range(len(steps) - 2, -1, -1):
             a, b = steps[t], steps[t + 1]
             longer = steps[t + 2] - b if t + 2 < len(steps) else 0
-            ended = slice(longer, b - a)  # runs whose last token this is
-            beta[ended] = after_[ended] / (alpha[a:b][ended] * after_[ended]).sum(1, keepdims=True)
-            back = likely[a:b] * beta[: b - a] / scale[a:b, None]
+            if longer < b - a:  # runs whose last token this is
+                last = after_[:, longer : b - a]
+                beta[:, longer : b - a] = last / (alpha[:, a + longer : b] * last).sum(0)
+            here = beta[:, : b - a]
+            back = likely[:, a:b] * here
             if t:
-                moves[:] += model.move * (alpha[steps[t - 1] : a][: b - a].T @ back)
+                moves[:] += model.move * (alpha[:, steps[t - 1] : steps[t - 1] + b - a] @ back.T)
             else:
-                starts[:] += (alpha[a:b] * beta[: b - a])[begins].sum(0)
-                moves[:] += model.move * (before_[~begins].T @ back[~begins])
-            alpha[a:b] *= beta[: b - a]
-            beta[: b - a] = back @ model.move.T
+                starts[:] += (alpha[:, a:b] * here)[:, begins].sum(1)
+                moves[:] += model.move * (before_[:, ~begins] @ back[:, ~begins].T)
+            alpha[:, a:b] *= here
+            np.matmul(model.move, back, out=here)
         for state in range(k):
-            emits[:, state] += np.bincount(tokens, weights=alpha[:, state], minlength=CLASSES + 1)
+            emits[:, state] += np.bincount(tokens, weights=alpha[state], minlength=CLASSES + 1)
         return float(np.log(scale).sum())
 
     held: tuple[list, list, list, list] = ([], [], [], [])
     size = 0
 
-    def add(run: np.ndarray, *rest) -> None:
+    def done() -> None:
         nonlocal size, total, held
+        for group in alike(held[0], most):
+            total += flush(*([column[i] for i in group] for column in held))
+        held, size = ([], [], [], []), 0
+
+    def add(run: np.ndarray, *rest) -> None:
+        nonlocal size
         for column, x in zip(held, (run, *rest)):
             column.append(x)
         size += len(run)
-        if size >= most:
-            total += flush(*held)
-            held, size = ([], [], [], []), 0
+        if size >= max(most, HELD):
+            done()
 
     for text in texts:
         if len(text) <= LONG:
@@ -163,8 +185,7 @@ def expect(model: Model, texts: Iterable[np.ndarray], most: int | None = None) -
             after.append(message := message / message.sum())
         for i, run in enumerate(runs):
             add(run, i == 0, before[i], after[-1 - i])
-    if held[0]:
-        total += flush(*held)
+    done()
     return starts, moves, emits, total
 
 
@@ -178,14 +199,24 @@ def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each whole token list, by the scaled forward recursion over all of them at once."""
+    """log10 probability of each whole token list, by the scaled forward recursion over those of like lengths at once."""
+    out = np.empty(len(texts))
+    for group in alike(texts, BATCH):
+        out[group] = _forward(model, [texts[i] for i in group])
+    return out
+
+
+def _forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     order, tokens, steps = by_time(texts)
-    out, alpha = np.zeros(len(texts)), None
+    likely, turn = np.ascontiguousarray(model.emit.T)[:, tokens], np.ascontiguousarray(model.move.T)
+    scale, alpha = np.empty(len(tokens)), None
+    for a, b in zip(steps, steps[1:]):
+        alpha = (model.start[:, None] if alpha is None else turn @ alpha[:, : b - a]) * likely[:, a:b]
+        scale[a:b] = s = alpha.sum(0)
+        alpha /= s
+    out, logs = np.zeros(len(texts)), np.log10(scale)
     for a, b in zip(steps, steps[1:]):
-        alpha = (model.start if alpha is None else alpha[: b - a] @ model.move) * model.emit[tokens[a:b]]
-        s = alpha.sum(1)
-        out[: b - a] += np.log10(s)
-        alpha = alpha / s[:, None]
+        out[: b - a] += logs[a:b]
     back = np.empty(len(texts))
     back[order] = out
     return back
@@ -359,7 +390,7 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
         model, class_log, often = shared.value
         count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist())) | often
         columns = [[] for _ in range(7)]
-        for batch in texts.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=2000):
+        for batch in texts.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=20_000):
             size, ids, extra = 0, [], []
 
             def flush() -> None:
@@ -379,7 +410,7 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
                 ids.append(classes)
                 extra.append((own - class_log[classes].sum(), (doc_id, held_out, len(known), int(np.count_nonzero(known)), n_all, float(base))))
                 size += len(known)
-                if size > 1_000_000:
+                if size > HELD:
                     flush()
             flush()
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
