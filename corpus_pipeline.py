@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontam, lines, packing, quality, simhash
 from spanloom.llm.registry import tokenizer_path
-from spanloom.session import stored, table
+from spanloom.session import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written once, then read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
