@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import acquire, dense, files, metrics, spans, windows
+from spanloom.operators import acquire, dense, evaluation, files, metrics, spans, windows
 from spanloom.session import spread, table
 
 RADIUS = 4
@@ -43,12 +43,12 @@ def label_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion(metrics.places(labelled(spark, sf_dir), "truth", "pred"))
+    return evaluation.counted(labelled(spark, sf_dir), "truth", "pred")
 
 
 def _seen(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    """Places whose truth isn't white space."""
-    return metrics.places(labelled(spark, sf_dir, *keep), "truth", "pred", *keep).filter("truth != 'W'")
+    """The confusion at places whose truth isn't white space."""
+    return evaluation.counted(labelled(spark, sf_dir, *keep), "truth", "pred", *keep, valid=True)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -56,37 +56,36 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.per_class(metrics.confusion(_seen(spark, sf_dir))).drop("hit", "guessed"))
+    return _rounded(metrics.per_class(_seen(spark, sf_dir)).drop("hit", "guessed"))
 
 
 def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.overall(metrics.per_class(metrics.confusion(_seen(spark, sf_dir, "lang"), "lang"), "lang"), "lang"))
+    return _rounded(metrics.overall(metrics.per_class(_seen(spark, sf_dir, "lang"), "lang"), "lang"))
 
 
 def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.top_confusions(metrics.confusion(_seen(spark, sf_dir)), 2))
+    return _rounded(metrics.top_confusions(_seen(spark, sf_dir), 2))
 
 
 def accuracy_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy overall, for each language, and for each language and source."""
-    rows = metrics.places(labelled(spark, sf_dir, "lang", "source"), "truth", "pred", "lang", "source")
-    sums = rows.groupingSets([[], ["lang"], ["lang", "source"]], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("truth") == F.col("pred")).cast("long")).alias("hits"), F.grouping_id().cast("long").alias("level"))
+    rows = evaluation.counted(labelled(spark, sf_dir, "lang", "source"), "truth", "pred", "lang", "source")
+    hits = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    sums = rows.groupingSets([[], ["lang"], ["lang", "source"]], "lang", "source").agg(F.sum("n").alias("n"), hits.alias("hits"), F.grouping_id().cast("long").alias("level"))
     return sums.select("lang", "source", "level", "n", "hits")
 
 
 def boundary_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confusion within four places of a boundary of the truth."""
-    docs = metrics.with_near_boundary(labelled(spark, sf_dir), "truth", RADIUS, "near")
-    rows = docs.select(F.explode_outer(F.arrays_zip("near", dense.codes(F.col("truth")).alias("truth"), dense.codes(F.col("pred")).alias("pred"))).alias("x"))
-    return metrics.confusion(rows.select("x.*").filter("near").drop("near"))
+    return evaluation.counted(labelled(spark, sf_dir), "truth", "pred", near=RADIUS)
 
 
 def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document, the middle third: visible places, right ones, and whether half are right."""
-    docs = labelled(spark, sf_dir).withColumn("a", F.floor(F.length("text") / 3).cast("int")).withColumn("b", F.floor(F.length("text") * 2 / 3).cast("int"))
-    rows = docs.select("doc_id", F.explode_outer(dense.pairs_of("truth", "pred")).alias("x"), "a", "b").filter("x.pos >= a AND x.pos < b AND x.truth != 'W'")
-    sums = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.col("x.truth") == F.col("x.pred")).cast("long")).alias("right"))
-    return sums.select("doc_id", "total", "right", (F.col("right") * 2 >= F.col("total")).alias("hit"))
+    n = F.length("text")
+    middle = F.struct(F.floor(n / 3).cast("int").alias("start"), F.floor(n * 2 / 3).cast("int").alias("end"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("host"))
+    rows = evaluation.region_counts(labelled(spark, sf_dir).withColumn("regions", F.array(middle)), "truth", "pred", "regions", "L", "doc_id").filter("total > 0")
+    return rows.select("doc_id", "total", F.col("exact").alias("right"), (F.col("exact") * 2 >= F.col("total")).alias("hit"))
 
 
 def space_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +123,10 @@ def segment_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each line starts, in characters and in bytes."""
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("lines", F.split("text", "\n"))
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<c:int,b:int>>").alias("out"))
-    step = lambda acc, l: F.struct((acc["c"] + F.length(l) + 1).alias("c"), (acc["b"] + F.octet_length(l) + 1).alias("b"), F.concat(acc["out"], F.array(F.struct(acc["c"], acc["b"]))).alias("out"))
-    rows = docs.select("doc_id", F.posexplode_outer(F.aggregate("lines", start, step, lambda acc: acc["out"])).alias("line", "x"))
-    return rows.select("doc_id", "line", F.col("x.c").alias("char_start"), F.col("x.b").alias("byte_start"))
+    rows = docs.select("doc_id", F.posexplode_outer("lines").alias("line", "l"))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c + 1).over(before), F.lit(0)).cast("int")
+    return rows.select("doc_id", "line", upto(F.length("l")).alias("char_start"), upto(F.octet_length("l")).alias("byte_start"))
 
 
 def overlap_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

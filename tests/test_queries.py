@@ -17,4 +17,4 @@ def test_query(spark, sf_dir, con, name):
     if name in registry.ORACLE_SQL:
         assert compare(df, registry.ORACLE_SQL[name], con) == ""
     else:
-        assert df.count() >= 0 and len(df.columns) == len(set(df.columns))
+        assert df.count() > 0 and len(df.columns) == len(set(df.columns))
