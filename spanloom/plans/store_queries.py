@@ -224,7 +224,7 @@ def processed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thesis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = postprocess.Options(thesis=True, shortest=4)
-    return postprocess.segment(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text", _scores, NAMES, options)
+    return postprocess.segment(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", _scores, NAMES, options)
 
 
 def review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
