@@ -416,4 +416,5 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.groupBy("block").cogroup(slices.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
+    dealt = rows.repartition(max(1, rows.select("block").distinct().count()), "block")  # as many tasks as blocks, however many
+    return dealt.groupBy("block").cogroup(slices.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
