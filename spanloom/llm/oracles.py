@@ -29,7 +29,7 @@ _order = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
 _rule = "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{r[1] + r[2]}'" for r in _order) + " END"
 _verdict = "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{r[0]}'" for r in _order) + " END"
 _two = "array_to_string(string_split(host, '.')[-2:], '.')"
-_long = f"{_two} IN ({', '.join(repr(s) for s in urls.TWO_LABEL_SUFFIXES)})"
+_long = f"regexp_matches({_two}, '{urls.TWO_LABELS}')"
 _whole = r"regexp_matches(host, '^[0-9.]+$|^[^.]*$|^\[')"
 
 

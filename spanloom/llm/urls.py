@@ -16,8 +16,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk")
+#: A country's code after one of these labels is a suffix of two labels, under which names are registered.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "or", "org")
+TWO_LABELS = rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
 #: A page is blocked if its host's rate of bad pages exceeds LIMIT even at the lower bound of Z standard deviations.
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's weight, in pages.
@@ -49,7 +50,7 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
 def domain_of(host: Column) -> tuple[Column, Column]:
     """(registered domain, suffix); a host of one label or an address is its own domain and suffix."""
     two = F.substring_index(host, ".", -2)
-    long_suffix = two.isin(*TWO_LABEL_SUFFIXES)
+    long_suffix = two.rlike(TWO_LABELS)
     whole = host.rlike(r"^[0-9.]+$|^[^.]*$|^\[")
     suffix = F.when(whole, host).when(long_suffix, two).otherwise(F.substring_index(host, ".", -1))
     domain = F.when(whole, host).when(long_suffix, F.substring_index(host, ".", -3)).otherwise(two)
