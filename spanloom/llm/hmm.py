@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
     bucket = F.when(F.col("word") == F.lit(END), F.lit(CLASSES)).otherwise(F.crc32("word").bitwiseAND(F.lit(CLASSES - 1)))
     often = {bytes(r.word): r.c for r in counts.filter("block < 0").groupBy("word").agg(F.sum("n").alias("c")).collect()}
     same = Window.partitionBy("word")
-    slices = counts.filter("block >= 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("one"))
+    slices = counts.filter("block >= 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("one"))  # a word has one row in a block
     slices = stored(slices, "words")
     discard(counts)
     held, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
@@ -388,7 +388,12 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         model, class_log, often = shared.value
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist())) | often
+        listed = [*words.column("word").to_pylist(), *often]  # frequent words, the end among them, are in no block's slice
+        place = {w: i for i, w in enumerate(listed)}
+        count = np.concatenate([words.column("c").to_numpy(), np.fromiter(often.values(), np.int64, len(often))])
+        kind = class_ids(listed)[:-1]
+        kind[place[END]] = CLASSES
+        share = np.log10(count + 1)
         columns = [[] for _ in range(7)]
         for batch in texts.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=20_000):
             size, ids, extra = 0, [], []
@@ -403,13 +408,14 @@ def score(docs: DataFrame, model: Model | None = None, block_bytes: int = BLOCK_
 
             for doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = lower_words(text)
-                known = np.fromiter(map(count.__getitem__, [*found, END]), np.float64, len(found) + 1)
-                classes = class_ids(found)
-                own = np.log10(known + 1).sum()
-                base = own - len(known) * np.log10(n_all + n_kinds + 1)
+                found.append(END)
+                at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                classes = kind[at]
+                own = share[at].sum()
+                base = own - len(at) * np.log10(n_all + n_kinds + 1)
                 ids.append(classes)
-                extra.append((own - class_log[classes].sum(), (doc_id, held_out, len(known), int(np.count_nonzero(known)), n_all, float(base))))
-                size += len(known)
+                extra.append((own - class_log[classes].sum(), (doc_id, held_out, len(at), int(np.count_nonzero(count[at])), n_all, float(base))))
+                size += len(at)
                 if size > HELD:
                     flush()
             flush()
