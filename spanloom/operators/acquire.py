@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import dense
-
 
 def entropy(probs: Column) -> Column:
     """Entropy of a probability array, over the logarithm of its size; values are held above 1e-8 and made to sum to 1."""
@@ -27,46 +25,65 @@ def peaked_entropy(q: Column, classes: int) -> Column:
     return -(q * F.log(q) + (1 - q) * F.log(rest)) / math.log(classes)
 
 
+SPAN = "struct<score:double,start:int,end:int,boundary:int,entropy:double,flip_rate:double,left_label:string,right_label:string>"
+
+
+def _scored(labels: str, doubt: np.ndarray, radius: int, flip_weight: float, least: float, context: int, other: str | None) -> list[dict]:
+    """Spans around the boundaries of one row, from prefix sums of entropies and of label changes."""
+    codes = np.frombuffer(labels.encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    change = codes[1:] != codes[:-1]
+    cuts = np.flatnonzero(change) + 1
+    low, high = np.maximum(cuts - radius, 0), np.minimum(cuts + radius + 1, n)
+    sums, flips = np.concatenate([[0.0], np.cumsum(doubt)]), np.concatenate([[0], np.cumsum(change)])
+    mean = (sums[high] - sums[low]) / (high - low)
+    rate = (flips[high - 1] - flips[low]) / np.maximum(high - low - 1, 1)
+    score = mean + flip_weight * rate
+    if other is not None:
+        beside = (codes[cuts - 1] == ord(other)) | (codes[cuts] == ord(other))
+        score = np.where(beside, 1 - mean, score)
+    score = np.round(score, 6)
+    return [
+        {"score": float(score[k]), "start": max(b - context, 0), "end": min(b + context, n), "boundary": b, "entropy": round(float(mean[k]), 6), "flip_rate": round(float(rate[k]), 6), "left_label": labels[b - 1], "right_label": labels[b]}
+        for k, b in enumerate(cuts.tolist()) if score[k] >= least
+    ]
+
+
 def candidates(df: DataFrame, labels: str, doubt: str, name: str, radius: int = 12, flip_weight: float = 0.6, least: float = 0.2, context: int = 250, other: str | None = None) -> DataFrame:
     """``df`` with a scored span around each boundary of the labels.
 
     doubt: an array of entropies, one for each place. A boundary's score is the mean
     entropy within ``radius``, plus ``flip_weight`` times the share of label changes there;
     beside ``other`` it is 1 less the mean entropy. Scores under ``least`` are dropped.
+    Null or empty labels have no spans.
     """
-    df = df.withColumn("__codes", dense.codes(F.col(labels)))
-    n = F.size("__codes")
-    change = lambda i: F.get("__codes", i) != F.get("__codes", i - 1)
-    df = df.withColumn("__cuts", F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), change)).otherwise(F.array().cast("array<int>")))
-
-    def scored(b: Column) -> Column:
-        low, high = F.greatest(b - radius, F.lit(0)), F.least(b + radius + 1, n)
-        mean = F.aggregate(F.sequence(low, high - 1), F.lit(0.0), lambda a, i: a + F.get(doubt, i)) / (high - low)
-        flips = F.aggregate(F.sequence(low + 1, high - 1), F.lit(0), lambda a, i: a + change(i).cast("int")) / F.greatest(high - low - 1, F.lit(1))
-        left, right = F.get("__codes", b - 1), F.get("__codes", b)
-        beside = (left == other) | (right == other) if other else F.lit(False)
-        score = F.when(beside, 1 - mean).otherwise(mean + flip_weight * flips)
-        return F.struct(
-            F.round(score, 6).alias("score"), F.greatest(b - context, F.lit(0)).alias("start"), F.least(b + context, n).alias("end"), b.alias("boundary"),
-            F.round(mean, 6).alias("entropy"), F.round(flips, 6).alias("flip_rate"), left.alias("left_label"), right.alias("right_label"),
-        )
-
-    spans = F.filter(F.transform("__cuts", scored), lambda s: s["score"] >= least)
-    return df.withColumn(name, spans).drop("__codes", "__cuts")
-
-
-def pick(spans: Column, most: int = 16, gap: int = 24) -> Column:
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def spans(labels: pd.Series, doubt: pd.Series) -> pd.Series:
+        return pd.Series([_scored(x, np.asarray(d, float), radius, flip_weight, least, context, other) if x else [] for x, d in zip(labels, doubt)])
+
+    return df.withColumn(name, spans(labels, doubt))
+
+
+def pick(spans: list[dict], most: int = 16, gap: int = 24) -> list[dict]:
     """Spans taken by falling score (by place on a tie) unless one taken before is nearer than ``gap``; at most ``most``, by start."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct((-s["score"]).alias("key"), s["boundary"].alias("at"), s.alias("s"))))
-    ordered = F.transform(ordered, lambda x: x["s"])
+    taken: list[dict] = []
+    for s in sorted(spans, key=lambda s: (-s["score"], s["boundary"])):
+        if len(taken) == most:
+            break
+        if all(s["end"] + gap <= k["start"] or k["end"] + gap <= s["start"] for k in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: (s["start"], s["boundary"]))
+
+
+def picked(spans: str, most: int = 16, gap: int = 24) -> Column:
+    """``pick`` of a column of spans."""
 
-    def add(acc: Column, s: Column) -> Column:
-        near = F.exists(acc, lambda k: (s["end"] + gap > k["start"]) & (k["end"] + gap > s["start"]))
-        return F.when((F.size(acc) < most) & ~near, F.concat(acc, F.array(s))).otherwise(acc)
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[] if x is None else pick(list(x), most, gap) for x in rows])
 
-    taken = F.aggregate(ordered, F.slice(spans, 1, 0), add)
-    by_start = F.array_sort(F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s.alias("s"))))
-    return F.transform(by_start, lambda x: x["s"])
+    return run(spans)
 
 
 def mix_share(stored: Column, full: int, most: float) -> Column:
@@ -102,7 +119,7 @@ def review_round(df: DataFrame, key: str, text: str, seen: DataFrame, scorer: Ca
     first = rows.groupBy("sample_hash").agg(F.min(key).alias(key), F.first(text).alias(text))
     fresh = first.join(seen.select("sample_hash").distinct(), "sample_hash", "left_anti")
     found = candidates(scored(fresh, key, text, scorer), "labels", "doubt", "__spans")
-    picked = found.select(key, text, F.explode_outer(pick(F.col("__spans"), most)).alias("s")).filter("s IS NOT NULL")
+    chosen = found.select(key, text, F.explode_outer(picked("__spans", most)).alias("s")).filter("s IS NOT NULL")
     snippet = F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    out = picked.select(F.lit(round_id).alias("round_id"), key, F.sha2(F.col(text), 256).alias("sample_hash"), "s.start", "s.end", "s.boundary", "s.score", snippet.alias("snippet"))
+    out = chosen.select(F.lit(round_id).alias("round_id"), key, F.sha2(F.col(text), 256).alias("sample_hash"), "s.start", "s.end", "s.boundary", "s.score", snippet.alias("snippet"))
     return out.orderBy(F.desc("score"), key, "boundary").limit(requests * batch)

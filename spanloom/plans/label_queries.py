@@ -143,33 +143,24 @@ def _doubt(q: float) -> str:
     return f"(-({q} * ln({q}) + (1 - {q}) * ln((1 - {q}) / 4)) / ln(5))"
 
 
-def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored boundaries of turns, with a stand-in probability for each place."""
+def _doubted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, truth, spans): scored boundaries of turns at the operator's own threshold and context, with a stand-in probability for each place."""
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
     q = lambda i: F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0
     turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(q(i), 5)))
-    found = acquire.candidates(turns, "truth", "doubt", "spans", context=20, least=0.95)
-    return found.select("id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end", "s.score", "s.flip_rate", "s.left_label", "s.right_label")
+    return acquire.candidates(turns, "truth", "doubt", "spans")
 
 
-def review_spans_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored boundaries of turns at the operator's own threshold and context; ``review_spans`` is held to SQL that takes 0.95 and 20."""
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
-    q = lambda i: F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0
-    turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(q(i), 5)))
-    found = acquire.candidates(turns, "truth", "doubt", "spans")
+def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _doubted(spark, sf_dir)
     return found.select("id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end", "s.score", "s.flip_rate", "s.left_label", "s.right_label")
 
 
 def review_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of each turn that are picked greedily, by the operators' own parameters."""
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
-    turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0, 5)))
-    found = acquire.candidates(turns, "truth", "doubt", "spans")
-    return found.select("id", F.explode_outer(acquire.pick(F.col("spans"))).alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end")
+    found = _doubted(spark, sf_dir)
+    return found.select("id", F.explode_outer(acquire.picked("spans")).alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end")
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_runs, dense_round_trip, label_boundaries, label_confusion, class_metrics, overall_metrics, top_confusions, accuracy_by_group, boundary_confusion, region_coverage,
-        space_filled, confidence_gated, smoothed, segment_algebra, byte_offsets, overlap_votes, review_spans, review_spans_default, review_picks, threshold_sweep,
+        space_filled, confidence_gated, smoothed, segment_algebra, byte_offsets, overlap_votes, review_spans, review_picks, threshold_sweep,
         boundary_scores, near_boundaries, guest_recovery,
     )
 }
@@ -280,12 +271,6 @@ ORACLE_SQL = {
         o AS (SELECT label FROM s QUALIFY row_number() OVER (PARTITION BY id, pos ORDER BY w DESC, label) = 1)
         SELECT label, count(*) AS n FROM o GROUP BY label""",
     "review_spans": f"""
-        WITH {TURNS}, e AS (SELECT *, {_doubt("q")} AS e, CASE WHEN lag(truth) OVER (PARTITION BY id ORDER BY pos) != truth THEN 1 ELSE 0 END AS f, lag(truth) OVER (PARTITION BY id ORDER BY pos) AS l FROM (SELECT *, 0.3::DOUBLE + ((pos * 7 + id) % 50)::DOUBLE / 100 AS q FROM t)),
-        s AS (SELECT *, avg(e) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS m, sum(f) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING) - CASE WHEN pos <= 11 THEN 0 ELSE 0 END AS k FROM e),
-        b AS (SELECT *, k / greatest(least(pos + 13, n) - greatest(pos - 12, 0) - 1, 1) AS fr FROM s WHERE f = 1)
-        SELECT id, pos::INTEGER AS boundary, greatest(pos - 20, 0)::INTEGER AS start, least(pos + 20, n)::INTEGER AS "end", round(m + 0.6 * fr, 6)::DOUBLE AS score, round(fr, 6)::DOUBLE AS flip_rate, l AS left_label, truth AS right_label
-        FROM b WHERE round(m + 0.6 * fr, 6) >= 0.95""",
-    "review_spans_default": f"""
         WITH {TURNS}, e AS (SELECT *, {_doubt("q")} AS e, CASE WHEN lag(truth) OVER (PARTITION BY id ORDER BY pos) != truth THEN 1 ELSE 0 END AS f, lag(truth) OVER (PARTITION BY id ORDER BY pos) AS l FROM (SELECT *, 0.3::DOUBLE + ((pos * 7 + id) % 50)::DOUBLE / 100 AS q FROM t)),
         s AS (SELECT *, avg(e) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS m, sum(f) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING) AS k FROM e),
         b AS (SELECT *, k / greatest(least(pos + 13, n) - greatest(pos - 12, 0) - 1, 1) AS fr FROM s WHERE f = 1)

@@ -136,14 +136,7 @@ def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of each item's first words to the next item's, where it is at most 30."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 40), r"[^\x20-\x7E]", "?").alias("a"))
-    nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return items.join(nxt, "item_id").select("item_id", annotate.bounded_distance(F.col("a"), F.col("b"), 30).alias("distance"), annotate.distance_limit(F.length("a") * 10).alias("allowed"))
-
-
-def near_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of each whole item to the next item, where it is within the item's own limit; ``near_items`` is held to SQL that takes 40 characters."""
+    """Edit distance of each whole item to the next item, where it is within the item's own limit."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x20-\x7E]", "?").alias("a"))
     nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
     allowed = annotate.distance_limit(F.length("a"))
@@ -245,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_rounds, store_status, store_summary, store_page, store_merge, store_upsert, queried_share, change_ecdf, token_cost, metric_matrix, pair_chains, needle_mix, fenced_mix,
-        throughput_set, support_summary, parsed_blocks, near_items, near_whole_items, tiled_segments, processed_segments, thesis_segments, label_prices, word_windows, chunked_documents,
+        throughput_set, support_summary, parsed_blocks, near_items, tiled_segments, processed_segments, thesis_segments, label_prices, word_windows, chunked_documents,
         training_windows, window_modes, dominant_windows, report_compare, review_round,
     )
 }
@@ -304,10 +297,6 @@ ORACLE_SQL = {
         SELECT conv_id, count(*) AS n_blocks, md5(string_agg(text, '' ORDER BY turn)) AS digest, coalesce(string_agg(DISTINCT role, ',') FILTER (role = before), '') AS twins,
           string_agg((e - length(text))::BIGINT || ':' || e::BIGINT || ':' || role, ',' ORDER BY turn) AS segments FROM t GROUP BY conv_id""",
     "near_items": r"""
-        WITH i AS (SELECT item_id, regexp_replace(left(text, 40), '[^\x20-\x7E]', '?', 'g') AS t FROM benchmark)
-        SELECT a.item_id, CASE WHEN levenshtein(a.t, b.t) <= 30 THEN levenshtein(a.t, b.t)::INTEGER END AS distance, greatest(8, least(200, floor(length(a.t) * 10 * 0.05)))::INTEGER AS allowed
-        FROM i a JOIN i b ON b.item_id = a.item_id + 1""",
-    "near_whole_items": r"""
         WITH i AS (SELECT item_id, regexp_replace(text, '[^\x20-\x7E]', '?', 'g') AS t FROM benchmark),
         p AS (SELECT a.item_id, levenshtein(a.t, b.t) AS d, greatest(8, least(200, floor(length(a.t) * 0.05)))::INTEGER AS allowed FROM i a JOIN i b ON b.item_id = a.item_id + 1)
         SELECT item_id, CASE WHEN d <= allowed THEN d END::INTEGER AS distance, allowed FROM p""",

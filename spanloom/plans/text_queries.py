@@ -88,14 +88,9 @@ def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.encode(F.substring("text", 1, 300), "UTF-8")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(encoding.encode("hex", data)).alias("hex_md5"), F.md5(encoding.encode("base64", data)).alias("base64_md5"), *[encoding.most_input(k, F.col("n_chars")).alias(f"room_{k}") for k in ("hex", "base64", "base32", "base85")])
-
-
-def encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts in hexadecimal and base 64; ``encode_text`` is held to SQL that takes 300 characters."""
+    """Whole texts in hexadecimal and base 64, and how much fits into as many characters."""
     data = F.encode("text", "UTF-8")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(encoding.encode("hex", data)).alias("hex_md5"), F.md5(encoding.encode("base64", data)).alias("base64_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(encoding.encode("hex", data)).alias("hex_md5"), F.md5(encoding.encode("base64", data)).alias("base64_md5"), *[encoding.most_input(k, F.col("n_chars")).alias(f"room_{k}") for k in ("hex", "base64", "base32", "base85")])
 
 
 def encode_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +133,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unseen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose first 40 characters don't open any even-numbered document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen = docs.filter("doc_id % 2 = 0").select(F.sha2(F.substring("text", 1, 40), 256).alias("sha"))
-    return sampling.unseen(docs, "text", seen, 40).select("doc_id", "sha")
-
-
-def unseen_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose first 10,000 characters, as the reference hashes them, aren't those of any labelled document; ``unseen_documents`` is held to SQL that takes 40."""
+    """Documents whose first 10,000 characters, as the reference hashes them, aren't those of any labelled document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hashed = docs.select("doc_id", F.sha2(F.substring("text", 1, MAX_INPUT_CHARS), 256).alias("sha"))  # before the join, which then moves no text
     seen = hashed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("sha")
@@ -159,17 +147,7 @@ def full_cycle_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global row numbers of a pool of sources, traced to source and row within it."""
-    docs = table(spark, sf_dir, "documents")
-    pool = sampling.pool_ranges(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n")
-    wanted = docs.select(F.col("doc_id").alias("global_row")).filter("global_row % 3 = 0")
-    ranges = F.broadcast(pool)  # a row for each source
-    hit = (F.col("global_row") >= F.col("first")) & (F.col("global_row") < F.col("last"))
-    return wanted.join(ranges, hit).select("global_row", "source", (F.col("global_row") - F.col("first")).alias("row"))
-
-
-def pool_locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every global row number of a pool of sources, traced to source and row within it; ``pool_locate`` is held to SQL that takes each third."""
+    """Every global row number of a pool of sources, traced to source and row within it."""
     docs = table(spark, sf_dir, "documents")
     ranges = F.broadcast(sampling.pool_ranges(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n"))  # a row for each source
     hit = (F.col("global_row") >= F.col("first")) & (F.col("global_row") < F.col("last"))
@@ -246,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_summary, ascii_map, text_measures, clamp_bytes, web_text, strip_scripts, strip_svg_style, clean_markdown, php_code, license_filter, canonical_labels, encode_text,
-        encode_whole, encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, unseen_unlabelled, full_cycle_sample, pool_locate, pool_locate_all,
+        encode_rare, route_documents, source_quotas, percentile_sample, one_of_each_source, round_robin, stratified_split, unseen_documents, full_cycle_sample, pool_locate,
         byte_windows, overlapping_spans, cover_all_spans, length_buckets, memory_batches, pack_conversations,
     )
 }
@@ -286,9 +264,8 @@ ORACLE_SQL = {
           WHEN merged IN ({_known}) THEN merged ELSE 'other' END AS label FROM c)
         SELECT raw, n, label, CASE WHEN starts_with(label, 'encoding_base') THEN 'base64' {" ".join(f"WHEN label = '{a}' THEN '{b}'" for a, b in labels.ROUTES.items())} ELSE 'other-lang' END AS route FROM d""",
     "encode_text": """
-        SELECT doc_id, md5(lower(hex(encode(left(text, 300))))) AS hex_md5, md5(base64(encode(left(text, 300)))) AS base64_md5, n_chars // 2 AS room_hex, n_chars // 4 * 3 AS room_base64,
+        SELECT doc_id, md5(lower(hex(encode(text)))) AS hex_md5, md5(base64(encode(text))) AS base64_md5, n_chars // 2 AS room_hex, n_chars // 4 * 3 AS room_base64,
           n_chars // 8 * 5 AS room_base32, n_chars // 5 * 4 AS room_base85 FROM documents""",
-    "encode_whole": "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex_md5, md5(base64(encode(text))) AS base64_md5 FROM documents",
     "route_documents": f"""
         SELECT lang, CASE WHEN i < 80 THEN 'window' WHEN i < 90 THEN 'monitor' ELSE 'test' END AS route, CASE WHEN u < 70 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM (
           SELECT lang, {_hash8.format("lang || '|' || left(text, 256)")} % 100 AS i, {_hash8.format("sha256(text)")} % 80 AS u FROM documents) GROUP BY ALL""",
@@ -301,15 +278,11 @@ ORACLE_SQL = {
     "one_of_each_source": "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR)) = 1",
     "round_robin": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS round FROM documents",
     "stratified_split": "SELECT lang, doc_id, CASE WHEN r <= 20 THEN 'A' ELSE 'B' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50",
-    "unseen_documents": "SELECT doc_id, sha256(left(text, 40)) AS sha FROM documents WHERE sha256(left(text, 40)) NOT IN (SELECT sha256(left(text, 40)) FROM documents WHERE doc_id % 2 = 0)",
-    "unseen_unlabelled": f"""
+    "unseen_documents": f"""
         WITH d AS (SELECT doc_id, sha256(left(text, {MAX_INPUT_CHARS})) AS sha FROM documents), s AS (SELECT sha FROM d SEMI JOIN labels USING (doc_id))
         SELECT doc_id, sha FROM d ANTI JOIN s USING (sha)""",
     "full_cycle_sample": "SELECT doc_id, (11 + 7919 * doc_id) % 1000003 AS place FROM documents",
     "pool_locate": """
-        WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS a, sum(n) OVER (ORDER BY source) AS b FROM c)
-        SELECT doc_id AS global_row, source, (doc_id - a)::BIGINT AS "row" FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d JOIN r ON doc_id >= a AND doc_id < b""",
-    "pool_locate_all": """
         WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS a, sum(n) OVER (ORDER BY source) AS b FROM c)
         SELECT doc_id AS global_row, r.source, (doc_id - a)::BIGINT AS "row" FROM documents d JOIN r ON doc_id >= a AND doc_id < b""",
     "byte_windows": rf"""
