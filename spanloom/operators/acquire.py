@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ def peaked_entropy(q: Column, classes: int) -> Column:
 
 
 SPAN = "struct<score:double,start:int,end:int,boundary:int,entropy:double,flip_rate:double,left_label:string,right_label:string>"
+#: The same fields for Arrow; spans stay in its columns, since a Python object for each would fill an executor.
+FIELDS = {"score": pa.float64(), "start": pa.int32(), "end": pa.int32(), "boundary": pa.int32(), "entropy": pa.float64(), "flip_rate": pa.float64(), "left_label": pa.string(), "right_label": pa.string()}
 
 
-def _scored(labels: str, doubt: np.ndarray, radius: int, flip_weight: float, least: float, context: int, other: str | None) -> list[dict]:
-    """Spans around the boundaries of one row, from prefix sums of entropies and of label changes."""
-    codes = np.frombuffer(labels.encode("utf-32-le"), np.uint32)
+def _scored(codes: np.ndarray, doubt: np.ndarray, radius: int, flip_weight: float, least: float, context: int, other: str | None) -> list[np.ndarray]:
+    """FIELDS, labels as codes, of the spans around one row's boundaries, from prefix sums of entropies and of label changes."""
     n = len(codes)
     change = codes[1:] != codes[:-1]
     cuts = np.flatnonzero(change) + 1
@@ -39,53 +42,64 @@ def _scored(labels: str, doubt: np.ndarray, radius: int, flip_weight: float, lea
     mean = (sums[high] - sums[low]) / (high - low)
     rate = (flips[high - 1] - flips[low]) / np.maximum(high - low - 1, 1)
     score = mean + flip_weight * rate
+    left, right = codes[cuts - 1], codes[cuts]
     if other is not None:
-        beside = (codes[cuts - 1] == ord(other)) | (codes[cuts] == ord(other))
-        score = np.where(beside, 1 - mean, score)
+        score = np.where((left == ord(other)) | (right == ord(other)), 1 - mean, score)
     score = np.round(score, 6)
-    return [
-        {"score": float(score[k]), "start": max(b - context, 0), "end": min(b + context, n), "boundary": b, "entropy": round(float(mean[k]), 6), "flip_rate": round(float(rate[k]), 6), "left_label": labels[b - 1], "right_label": labels[b]}
-        for k, b in enumerate(cuts.tolist()) if score[k] >= least
-    ]
-
-
-def candidates(df: DataFrame, labels: str, doubt: str, name: str, radius: int = 12, flip_weight: float = 0.6, least: float = 0.2, context: int = 250, other: str | None = None) -> DataFrame:
+    keep = score >= least
+    found = score, np.maximum(cuts - context, 0), np.minimum(cuts + context, n), cuts, np.round(mean, 6), np.round(rate, 6), left, right
+    return [x[keep] for x in found]
+
+
+def pick(score: np.ndarray, start: np.ndarray, end: np.ndarray, boundary: np.ndarray, most: int = 16, gap: int = 24) -> np.ndarray:
+    """Which spans are taken by falling score (by place on a tie) unless one taken before is nearer than ``gap``; at most ``most``, by start."""
+    left = np.lexsort((boundary, -score))
+    taken = []
+    while len(left) and len(taken) < most:
+        taken.append(k := left[0])
+        left = left[(end[left] + gap <= start[k]) | (end[k] + gap <= start[left])]
+    return np.array(sorted(taken, key=lambda k: (start[k], boundary[k])), np.int64)
+
+
+def _spans(labels: pa.Array, doubt: pa.Array, most: int | None, gap: int, *options) -> pa.Array:
+    values = np.asarray(doubt.flatten(), float)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(doubt), 0), np.int64))
+    rows, at = [], 0
+    for text, end in zip(labels.to_pylist(), ends):
+        found = _scored(np.frombuffer((text or "").encode("utf-32-le"), np.uint32), values[at:end], *options)
+        if most is not None:
+            taken = pick(*found[:4], most, gap)
+            found = [x[taken] for x in found]
+        rows.append(found)
+        at = end
+    columns = []
+    for parts, kind in zip(zip(*rows) if rows else [[]] * len(FIELDS), FIELDS.values()):
+        flat = np.concatenate([*parts]) if len(parts) else np.zeros(0, np.uint32)
+        if kind == pa.string():
+            names, where = np.unique(flat, return_inverse=True)
+            columns.append(pa.array([chr(c) for c in names], kind).take(pa.array(where)))
+        else:
+            columns.append(pa.array(flat).cast(kind))
+    offsets = np.cumsum([0, *(len(r[0]) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=list(FIELDS)))
+
+
+def candidates(df: DataFrame, labels: str, doubt: str, name: str, radius: int = 12, flip_weight: float = 0.6, least: float = 0.2, context: int = 250, other: str | None = None, most: int | None = None, gap: int = 24) -> DataFrame:
     """``df`` with a scored span around each boundary of the labels.
 
     doubt: an array of entropies, one for each place. A boundary's score is the mean
     entropy within ``radius``, plus ``flip_weight`` times the share of label changes there;
     beside ``other`` it is 1 less the mean entropy. Scores under ``least`` are dropped.
-    Null or empty labels have no spans.
+    With ``most`` only those that ``pick`` takes are kept. Null or empty labels have no spans.
     """
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(labels: pd.Series, doubt: pd.Series) -> pd.Series:
-        return pd.Series([_scored(x, np.asarray(d, float), radius, flip_weight, least, context, other) if x else [] for x, d in zip(labels, doubt)])
+    @F.arrow_udf(f"array<{SPAN}>")
+    def spans(labels: pa.Array, doubt: pa.Array) -> pa.Array:
+        return _spans(labels, doubt, most, gap, radius, flip_weight, least, context, other)
 
     return df.withColumn(name, spans(labels, doubt))
 
 
-def pick(spans: list[dict], most: int = 16, gap: int = 24) -> list[dict]:
-    """Spans taken by falling score (by place on a tie) unless one taken before is nearer than ``gap``; at most ``most``, by start."""
-    taken: list[dict] = []
-    for s in sorted(spans, key=lambda s: (-s["score"], s["boundary"])):
-        if len(taken) == most:
-            break
-        if all(s["end"] + gap <= k["start"] or k["end"] + gap <= s["start"] for k in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: (s["start"], s["boundary"]))
-
-
-def picked(spans: str, most: int = 16, gap: int = 24) -> Column:
-    """``pick`` of a column of spans."""
-
-    @F.pandas_udf(f"array<{SPAN}>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([[] if x is None else pick(list(x), most, gap) for x in rows])
-
-    return run(spans)
-
-
 def mix_share(stored: Column, full: int, most: float) -> Column:
     """Share of reviewed rows in training: grows with how many are stored, up to ``most``."""
     return F.least(F.lit(most), F.lit(most) * stored / full)
@@ -118,8 +132,8 @@ def review_round(df: DataFrame, key: str, text: str, seen: DataFrame, scorer: Ca
     rows = df.filter(F.length(text) > 0).withColumn("sample_hash", F.sha2(F.col(text), 256))
     first = rows.groupBy("sample_hash").agg(F.min(key).alias(key), F.first(text).alias(text))
     fresh = first.join(seen.select("sample_hash").distinct(), "sample_hash", "left_anti")
-    found = candidates(scored(fresh, key, text, scorer), "labels", "doubt", "__spans")
-    chosen = found.select(key, text, F.explode_outer(picked("__spans", most)).alias("s")).filter("s IS NOT NULL")
+    found = candidates(scored(fresh, key, text, scorer), "labels", "doubt", "__spans", most=most)
+    chosen = found.select(key, text, F.explode_outer("__spans").alias("s")).filter("s IS NOT NULL")
     snippet = F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     out = chosen.select(F.lit(round_id).alias("round_id"), key, F.sha2(F.col(text), 256).alias("sample_hash"), "s.start", "s.end", "s.boundary", "s.score", snippet.alias("snippet"))
     return out.orderBy(F.desc("score"), key, "boundary").limit(requests * batch)

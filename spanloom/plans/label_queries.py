@@ -143,13 +143,13 @@ def _doubt(q: float) -> str:
     return f"(-({q} * ln({q}) + (1 - {q}) * ln((1 - {q}) / 4)) / ln(5))"
 
 
-def _doubted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _doubted(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """(id, truth, spans): scored boundaries of turns at the operator's own threshold and context, with a stand-in probability for each place."""
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).filter("length(text) > 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     turns = turns.withColumn("truth", dense.lexical_labels(F.col("text")))
     q = lambda i: F.lit(0.3) + F.pmod(i * 7 + F.col("id"), F.lit(50)) / 100.0
     turns = turns.withColumn("doubt", F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: acquire.peaked_entropy(q(i), 5)))
-    return acquire.candidates(turns, "truth", "doubt", "spans")
+    return acquire.candidates(turns, "truth", "doubt", "spans", most=most)
 
 
 def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +159,8 @@ def review_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of each turn that are picked greedily, by the operators' own parameters."""
-    found = _doubted(spark, sf_dir)
-    return found.select("id", F.explode_outer(acquire.picked("spans")).alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end")
+    found = _doubted(spark, sf_dir, most=16)
+    return found.select("id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("id", "s.boundary", "s.start", "s.end")
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,22 @@ def test_compatible_stores(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "other"))
     (tmp_path / "text").write_text("x")
     assert [p.rpartition("/")[2] for p in compatible_stores(spark, str(tmp_path), ("id", "status"))] == ["good"]
+
+
+def test_picks_match_brute_force(spark):
+    import random
+
+    from spanloom.operators import acquire
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("AABBC") for _ in range(n)), [rng.randrange(8) / 8 for _ in range(n)]) for i, n in enumerate([0, 1, 2, 40, 300, 900])] + [(9, None, None)]
+    df = acquire.candidates(spark.createDataFrame(rows, "id int, labels string, doubt array<double>"), "labels", "doubt", "spans", context=20)
+    got = {r.id: (r.spans, r.picks) for r in acquire.candidates(df, "labels", "doubt", "picks", context=20, most=16).collect()}
+    for i, labels, _ in rows:
+        spans, taken = got[i][0], []
+        assert {s.boundary for s in spans} <= {k for k in range(1, len(labels or "")) if labels[k] != labels[k - 1]}
+        assert all((s.left_label, s.right_label) == (labels[s.boundary - 1], labels[s.boundary]) for s in spans)
+        for s in sorted(spans, key=lambda s: (-s.score, s.boundary)):
+            if len(taken) < 16 and all(s.end + 24 <= k.start or k.end + 24 <= s.start for k in taken):
+                taken.append(s)
+        assert got[i][1] == sorted(taken, key=lambda s: s.start)
