@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.encoding import sha_number, sha_share
+from spanloom.session import stored
 
 
 def window_split(uid: Column) -> Column:
@@ -43,9 +44,34 @@ def one_of_each(df: DataFrame, group: str, key: Column) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(F.struct(*names), F.sha2(key, 256)).alias("r")).select(group, "r.*")
 
 
+def before(df: DataFrame, group: str, order: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its group that come before it in order.
+
+    Rows are dealt into ranges of the order, summed inside each and moved by what earlier
+    ranges of their group hold, so that a group of any size is many tasks' work. Rows that
+    tie stand in any order; null orders come first; a null group is a group.
+    """
+    ranges = df.withColumn(name, value).repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    rows = stored(ranges, "ranges")  # one frozen dealing for both readers
+    earlier = (Window.unboundedPreceding, -1)
+    here = F.sum(name).over(Window.partitionBy(group, "__part").orderBy(order).rowsBetween(*earlier))
+    sums = rows.groupBy(group, "__part").agg(F.sum(name).alias("__sum"))  # a row for each group and range
+    base = F.sum("__sum").over(Window.partitionBy(group).orderBy("__part").rowsBetween(*earlier))
+    sums = sums.select(F.col(group).alias("__group"), F.col("__part").alias("__range"), F.coalesce(base, F.lit(0)).alias("__base"))
+    rows = rows.withColumn(name, F.coalesce(here, F.lit(0)))
+    out = rows.join(sums, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__range")))
+    return out.withColumn(name, F.col(name) + F.col("__base")).select(*df.columns, name)
+
+
 def round_robin(df: DataFrame, group: str, order: Column) -> DataFrame:
     """``df`` with ``round``: the n-th row of each group has round n."""
-    return df.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return before(df, group, order, F.lit(1), "round").withColumn("round", (F.col("round") + 1).cast("int"))
+
+
+def seeded_subset(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """``most`` rows drawn by the hash of seed and key, ordered by key; all rows if there are no more."""
+    drawn = df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(most)
+    return drawn.orderBy(key)
 
 
 def stratified_split(df: DataFrame, group: str, order: Column, first: int, second: int) -> DataFrame:

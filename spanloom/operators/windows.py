@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.sampling import before
+
 
 def overlapping_spans(length: Column, chunk: int) -> Column:
     """(start, end) of windows of max(64, chunk) places, half a window apart; the last is clipped, a short text has one."""
@@ -70,8 +71,8 @@ def centred_start(focus_start: Column, focus_end: Column, length: Column, window
 
 def batches(df: DataFrame, key: str, size: Column, budget: int, group: str) -> DataFrame:
     """``df`` with ``batch``: rows of a group in order, a new batch wherever the running sum passes a multiple of the budget."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / budget).cast("long"))
+    rows = before(df, group, F.col(key), size, "batch")
+    return rows.withColumn("batch", F.floor(F.col("batch") / budget).cast("long"))
 
 
 def pack_pieces(df: DataFrame, group: str, order: str, text: str, target: int, between: str = "\n\n") -> DataFrame:
